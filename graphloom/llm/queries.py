@@ -62,8 +62,22 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_chats(chats.unionByName(extra)))
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.substring import dedup_digests
+
+    ship_package(spark)
+    return dedup_digests(table(spark, sf_dir, "documents"))
+
+
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.suffix import dedup_digests
+
+    ship_package(spark)
+    return dedup_digests(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_sharding, op3_secrets, op4_quality, op5_packing, op6_bpe, op9_chat)}
+    return {f.__name__: f for f in (op1_sharding, op3_secrets, op4_quality, op5_packing, op6_bpe, op7_substring, op9_chat, op10_suffix)}
 
 
 #: Matches the control strings of chat.CONTROL; an escaped one is one character longer.
