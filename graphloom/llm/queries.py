@@ -25,6 +25,13 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.simhash import near_dedup
+
+    ship_package(spark)
+    return near_dedup(table(spark, sf_dir, "documents"), size=3, radius=3)
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.secrets import find_secrets
 
@@ -77,7 +84,7 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_sharding, op3_secrets, op4_quality, op5_packing, op6_bpe, op7_substring, op9_chat, op10_suffix)}
+    return {f.__name__: f for f in (op1_sharding, op2_simhash, op3_secrets, op4_quality, op5_packing, op6_bpe, op7_substring, op9_chat, op10_suffix)}
 
 
 #: Matches the control strings of chat.CONTROL; an escaped one is one character longer.
