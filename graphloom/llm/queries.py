@@ -76,6 +76,13 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_digests(table(spark, sf_dir, "documents"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.ann import nearest
+
+    ship_package(spark)
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.suffix import dedup_digests
 
@@ -84,7 +91,7 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_sharding, op2_simhash, op3_secrets, op4_quality, op5_packing, op6_bpe, op7_substring, op9_chat, op10_suffix)}
+    return {f.__name__: f for f in (op1_sharding, op2_simhash, op3_secrets, op4_quality, op5_packing, op6_bpe, op7_substring, op8_ann, op9_chat, op10_suffix)}
 
 
 #: Matches the control strings of chat.CONTROL; an escaped one is one character longer.
