@@ -24,7 +24,7 @@ BOUNDARY, COPIES = 1.06, 4
 BLOCK = 8192
 NEIGHBOURS = 24
 #: A query's lists hold this many vectors at least, copies counted, whatever the ratio says.
-SCORED = 4000
+SCORED = 1200
 
 
 class Lists:
@@ -146,6 +146,8 @@ def _probes(batches, lists):
 
 def best(query: np.ndarray, vectors: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k nearest of vectors: a product picks what may be among them, sums in one fixed order rank it."""
+    _, first = np.unique(ids, return_index=True)  # a copy in another list is the same vector
+    ids, vectors = ids[first], vectors[first]
     score = vectors @ query
     if len(score) > k + 1:
         limit = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
@@ -155,9 +157,7 @@ def best(query: np.ndarray, vectors: np.ndarray, ids: np.ndarray, own: int, k: i
     some = some[ids[some] != own]
     exact = (vectors[some] * query).sum(1)
     ids = ids[some]
-    order = np.lexsort((ids, -exact))
-    _, first = np.unique(ids[order], return_index=True)  # a copy in another list is the same vector
-    order = order[np.sort(first)][:k]
+    order = np.lexsort((ids, -exact))[:k]
     return ids[order], exact[order]
 
 
