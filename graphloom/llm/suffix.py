@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from graphloom.llm import routing
-from graphloom.llm.common import BASE, BYTE, U, pieces, prefix, rows_of, span
+from graphloom.llm.common import BASE, BYTE, U, mix, pieces, prefix, repeated, rows_of, span
 
 #: Length of a match in bytes, and of the substrings that anchor it.
 LENGTH, GRAM = 100, 36
@@ -159,21 +160,108 @@ class RunLengthIndex:
         return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
 
+def anchors(flat: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Offset of the anchor in each segment: the leftmost least of its substrings of GRAM bytes."""
+    out = np.zeros(len(at), np.int64)
+    a = 0
+    while a < len(at):
+        b = max(a + 1, int(np.searchsorted(at, at[a] + SLICE, "right")) - 1)
+        lo, hi = at[a], at[b - 1] + n[b - 1] + LENGTH - 1
+        sums = prefix(BYTE[flat[lo:hi]], BASE)
+        places = np.arange(hi - lo - GRAM + 1)
+        order = (span(sums, places, places + GRAM, BASE) & ~U((1 << PLACE) - 1)) | places.astype(U)
+        begin = at[a:b] - lo
+        cuts = np.stack([begin, begin + n[a:b] + LENGTH - GRAM], 1).ravel()
+        least = np.minimum.reduceat(np.append(order, ~U(0)), cuts)[::2]
+        out[a:b] = (least & U((1 << PLACE) - 1)).astype(np.int64) - begin
+        a = b
+    return out
+
+
+def narrowed(flat: np.ndarray, rows: dict[str, np.ndarray]) -> Iterator[tuple]:
+    """Segments (at, m, n, key, start) that may still share windows, after longer anchors; settled runs on the way.
+
+    A window holds more than its anchor: half of what is left of its LENGTH lies right of the anchor, or else left
+    of it. By which, a segment is cut in two with an anchor longer by that half. Parts whose longer anchor is no
+    other's are done with, equal parts are settled, and so on with what is left. Yields ("marks", ...) and last
+    ("rest", rows).
+    """
+    sums = prefix(BYTE[flat], BASE)
+    have = GRAM
+    while LENGTH - have >= 8:
+        half = (LENGTH - have) // 2
+        at, m, n, start = rows["at"], rows["m"], rows["n"], rows["start"]
+        first = np.maximum(0, m - (LENGTH - have - half))
+        right, left = first < n, first > 0
+        parts = {
+            "at": np.concatenate([(at + first)[right], at[left]]),
+            "m": np.concatenate([(m - first)[right], (m - half)[left]]),
+            "n": np.concatenate([(n - first)[right], np.minimum(n, first)[left]]),
+            "key": np.concatenate([rows["key"][right], rows["key"][left]]),
+            "start": np.concatenate([(start + first)[right], start[left]]),
+        }
+        have += half
+        for again in (False, True):
+            core = parts["at"] + parts["m"]
+            many, _ = repeated(span(sums, core, core + have, BASE))
+            parts = {k: v[many] for k, v in parts.items()}
+            if not again:
+                parts["s"] = span(sums, parts["at"], parts["at"] + parts["n"] + LENGTH - 1, BASE) ^ mix(parts["m"].astype(U))
+                stays, marked = routing.firsts(parts, False)
+                if marked.any():
+                    yield "marks", (parts["key"][marked], parts["start"][marked], parts["n"][marked])
+                parts = {k: v[stays] for k, v in parts.items()}
+        rows = parts
+    yield "rest", rows | {"have": have}
+
+
 def compare(rows, blobs):
-    """Repeated windows among segments with a common anchor, through one index for some groups of them at a time."""
+    """Repeated windows among segments with a common anchor; what longer anchors leave goes through the index."""
     order = np.lexsort((rows["start"], rows["key"], rows["h"]))
     h = rows["h"][order]
+    size = np.array([len(blobs[i]) for i in order], np.int64)
     heads = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
     ends = np.append(heads[1:], len(h))
-    size = np.cumsum(np.array([len(blobs[i]) for i in order], np.int64))
+    upto = np.cumsum(size)
+    a = 0
+    while a < len(heads):  # whole groups of one anchor
+        begin = upto[heads[a]] - size[heads[a]]
+        b = max(a + 1, int(np.searchsorted(upto[ends - 1], begin + SLICE, "right")))
+        own = order[heads[a] : ends[b - 1]]
+        flat = np.frombuffer(b"".join(blobs[i] for i in own), np.uint8)
+        at = upto[heads[a] : ends[b - 1]] - size[heads[a] : ends[b - 1]] - begin
+        part = {"at": at, "n": rows["n"][own], "key": rows["key"][own], "start": rows["start"][own]}
+        part["m"] = anchors(flat, at, part["n"])
+        for what, got in narrowed(flat, part):
+            if what == "marks":
+                yield got
+            else:
+                yield from _indexed(flat, got)
+        a = b
+
+
+def _indexed(flat, rows):
+    """Matching statistics over what is left, an index for some groups of equal anchors at a time."""
+    core = rows["at"] + rows["m"]
+    if not len(core):
+        return
+    sums = prefix(BYTE[flat], BASE)
+    anchor = span(sums, core, core + rows["have"], BASE)
+    order = np.argsort(anchor, kind="stable")
+    anchor = anchor[order]
+    heads = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+    ends = np.append(heads[1:], len(anchor))
+    size = np.cumsum((rows["n"] + LENGTH - 1)[order])
+    whole = flat.tobytes()
     a = 0
     while a < len(heads):
-        begin = size[heads[a]] - len(blobs[order[heads[a]]])
+        begin = size[heads[a] - 1] if heads[a] else 0
         b = max(a + 1, int(np.searchsorted(size[ends - 1], begin + INDEXED, "right")))
         own = order[heads[a] : ends[b - 1]]
-        # several groups share an index; their order in the text must be that of the texts, over all groups
+        # several groups share an index; their order in its text must be that of the texts, over all groups
         own = own[np.lexsort((rows["start"][own], rows["key"][own]))]
-        part, offset = RunLengthIndex([blobs[i] for i in own]).repeats()
+        parts = [whole[x:y] for x, y in zip(rows["at"][own].tolist(), (rows["at"] + rows["n"] + LENGTH - 1)[own].tolist())]
+        part, offset = RunLengthIndex(parts).repeats()
         yield rows["key"][own][part], rows["start"][own][part] + offset, np.ones(len(part), np.int64)
         a = b
 
