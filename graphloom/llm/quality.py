@@ -77,5 +77,8 @@ def quality(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with their own columns."""
-    return quality(docs, tuple(docs.columns)).where("kept").select(docs.columns)
+    """The rows of docs that the rules keep, with their own columns, whatever their names."""
+    names = tuple(f"c{i}" for i in range(len(docs.columns)))
+    plain = docs.toDF(*names)
+    own = plain.select(*names, plain[names[docs.columns.index("text")]].alias("text"))
+    return quality(own, names).where("kept").select(*names).toDF(*docs.columns)

@@ -34,20 +34,22 @@ MARKS = "kind int, h long, key long, start long, n long"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs as (key, doc_id, text) with a key that orders them like doc_id and is unique to a text.
+    """docs with one more column, `key`, that orders them like doc_id and is unique to a text; doc_id as a long.
+
+    docs may have more columns, but none named key; see renamed() for those that have.
 
     Where doc_id is unique and never null, it is the key. Else different (doc_id, text) get numbers in the order
     of doc_id, nulls last, then of a hash of the text; equal rows share one and so their result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
     if odd.isEmpty():
-        return docs.select(F.col("doc_id").alias("key"), "doc_id", "text")
+        return docs.withColumn("key", F.col("doc_id"))
     own = docs.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
     ids = own.select("doc_id", "digest").distinct().repartitionByRange(F.col("doc_id").asc_nulls_last(), "digest").sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "digest")
     ids = materialize(ids.select("doc_id", "digest", F.monotonically_increasing_id().alias("key")), "keys")
     same = own["doc_id"].eqNullSafe(ids["doc_id"]) & (own["digest"] == ids["digest"])
-    return materialize(own.join(ids, same).select("key", own["doc_id"], "text"), "keyed")
+    return materialize(own.join(ids, same).select(ids["key"], *(own[c] for c in docs.columns)), "keyed")
 
 
 def _zip(batches):
@@ -58,7 +60,7 @@ def _zip(batches):
 
 def zipped(docs: DataFrame) -> DataFrame:
     """docs with text compressed, as it is dealt out."""
-    return docs.mapInArrow(_zip, "key long, doc_id long, z binary")
+    return docs.select("key", "doc_id", "text").mapInArrow(_zip, "key long, doc_id long, z binary")
 
 
 def unzipped(column: pa.Array) -> Iterator[bytes]:
@@ -293,6 +295,29 @@ def with_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
     return zipped(docs).join(runs.hint("shuffle_hash"), "key", "left")
 
 
+def renamed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with columns c0, c1, ... besides doc_id and text, so that no name of its own can clash."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    own = {c: plain[names[docs.columns.index(c)]].alias(c) for c in ("doc_id", "text")}
+    return plain.select(*names, own["doc_id"], own["text"]), names
+
+
+def with_all(docs: DataFrame, own: DataFrame, names: list[str], marks: DataFrame, cut: Callable) -> DataFrame:
+    """docs with text cut by its runs, all other columns as they were. own: keyed(renamed(docs))."""
+    runs = marks.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    at = docs.columns.index("text")
+
+    def cut_all(batches):
+        for b in batches:
+            texts = b.column(names[at])
+            new = [cut(t.encode(), runs_of(r)) if t is not None else None for t, r in zip(texts.to_pylist(), b.column("runs"))]
+            yield pa.RecordBatch.from_arrays([pa.array(new, texts.type) if i == at else b.column(c) for i, c in enumerate(names)], names)
+
+    plain = own.select(*names, "key")
+    return plain.join(runs.hint("shuffle_hash"), "key", "left").select(*names, "runs").mapInArrow(cut_all, plain.select(names).schema).toDF(*docs.columns)
+
+
 def runs_of(scalar: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
     if not scalar.is_valid:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)

@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphloom.llm.common import U, mix, utf8
 from graphloom.llm.components import components
@@ -288,3 +289,138 @@ def near_dedup(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
     """
     prints = materialize(fingerprints(docs, size), "fingerprints")
     return near_groups(prints, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Near copies by similarity: fingerprints propose, shingle sets decide.
+
+#: Partners that a row of a large bucket has verified at once; with more, its NEAREST alone, and others in later rounds.
+FEW, NEAREST = 4, 2
+#: Rows of a bucket up to which every pair in it is verified.
+SMALL = 48
+#: Different texts are compared where their counts of shingles are within a factor of 4, or close to it.
+BAND = 4.0
+
+
+def _profile(batches, size, print_size):
+    from hashlib import sha256
+
+    for batch in batches:
+        flat, offs = utf8(batch.column("text"))
+        whole, out = memoryview(flat), []
+        for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()):
+            text = bytes(whole[a:b])
+            out.append((sha256(text).digest()[:16], fingerprint(shingle_hashes(text, print_size)), len(np.unique(shingle_hashes(text, size)))))
+        fp = np.array([x[1] for x in out], U).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in out], pa.binary()), pa.array(fp), pa.array([x[2] for x in out], pa.int64())], ["doc_id", "digest", "fp", "weight"])
+
+
+def _proposed(batches, radius, similarity, skip):
+    """Pairs (a, b) of different labels within radius, b the smaller, of sizes that allow the similarity."""
+
+    def fit(got, i, j):
+        w, v = got["weight"][i], got["weight"][j]
+        return (np.minimum(w, v) >= similarity * np.maximum(w, v)) & (got["label"][i] != got["label"][j])
+
+    for got in by_signature(batches, ("sig", "fp", "rep", "weight", "label")):
+        sig, fp, rep = got["sig"], got["fp"].view(U), got["rep"]
+        head = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        size = np.diff(np.append(head, len(sig)))
+        left, right = [], []
+        rows, end, step = np.flatnonzero(np.repeat((size > 1) & (size <= SMALL), size)), np.repeat(head + size, size), 1
+        while not skip and len(rows := rows[rows + step < end[rows]]):
+            near = rows[(np.bitwise_count(fp[rows] ^ fp[rows + step]) <= radius) & fit(got, rows, rows + step)]
+            left.append(near)
+            right.append(near + step)
+            step += 1
+        for h, s in zip(head[size > SMALL].tolist(), size[size > SMALL].tolist()):
+            own = np.arange(h, h + s)
+            for k in range(0, s, 256):
+                i = own[k : k + 256]
+                gap = np.bitwise_count(fp[i, None] ^ fp[None, own])
+                ok = (gap <= radius) & (rep[None, own] < rep[i, None]) & fit(got, i[:, None], own[None, :])
+                count = ok.sum(1)
+                some = ok & (count <= FEW)[:, None] if not skip else np.zeros_like(ok)
+                a, b = np.nonzero(some)
+                left.append(i[a])
+                right.append(own[b])
+                for r in np.flatnonzero(count > FEW):
+                    c = np.flatnonzero(ok[r])
+                    c = c[np.lexsort((rep[own[c]], gap[r, c]))][skip : skip + NEAREST]
+                    left.append(np.full(len(c), i[r]))
+                    right.append(own[c])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+        a, b = np.maximum(rep[a], rep[b]), np.minimum(rep[a], rep[b])
+        if len(a):
+            pairs = np.unique(np.stack([a, b], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+
+def _sets(batches, size):
+    for b in batches:
+        flat, offs = utf8(b.column("text"))
+        whole = memoryview(flat)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([np.unique(shingle_hashes(bytes(whole[x:y]), size)).tobytes() for x, y in zip(offs[:-1].tolist(), offs[1:].tolist())], pa.binary())], ["doc_id", "shingles"])
+
+
+def _similar(batches, similarity):
+    for b in batches:
+        keep = []
+        for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist()):
+            u, v = np.frombuffer(x, U), np.frombuffer(y, U)
+            both = len(np.intersect1d(u, v, True))
+            keep.append(both >= similarity * (len(u) + len(v) - both) - 1e-9)
+        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, print_size: int = 3, radius: int = 11) -> DataFrame:
+    """(doc_id, digest, first): each row's text digest and the smallest doc_id of its group of near copies.
+
+    Links join equal texts, and different ones whose sets of shingles of size words have a Jaccard similarity of at
+    least `similarity`. Pairs within radius of the fingerprints over print_size words are proposed; their sets, from
+    the whole texts, decide. In a large bucket a text with many partners is compared with its nearest ones first;
+    while that joins groups, another round proposes the next nearest in other groups. Rows with a null doc_id
+    have a null first and no part in it. Empty texts are copies of each other alone.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    prints = materialize(own.mapInArrow(lambda it: _profile(it, size, print_size), "doc_id long, digest binary, fp long, weight long"), "profiles")
+    level = lambda x: F.floor(F.log(BAND, x)).cast("long")
+    nodes = prints.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("weight").alias("weight"))
+    nodes = materialize(nodes.select("digest", "rep", "fp", "weight"), "texts")
+    single = nodes.where("weight > 0").select("rep", "fp", "weight", F.explode(F.array_distinct(F.array(level(F.col("weight")), level(F.col("weight") / similarity)))).alias("band"))
+    wanted = masks(allocate(*moments(single), radius))
+    labels, skip, sets, links = None, 0, None, None
+    while True:
+        signed = single.mapInArrow(lambda it: _signed(it, wanted), "sig long, used long, fp long, rep long, weight long").drop("used")
+        signed = signed.withColumn("label", F.col("rep")) if labels is None else signed.join(labels, signed["rep"] == labels["node"], "left").select("sig", "fp", "rep", "weight", F.coalesce("component", "rep").alias("label"))
+        near = signed.repartition(parts, "sig").sortWithinPartitions("sig").mapInArrow(lambda it, k=skip: _proposed(it, radius, similarity, k), "a long, b long").distinct()
+        near = materialize(near, "proposed")
+        ids = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
+        texts = own.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        sets = materialize(texts.mapInArrow(lambda it: _sets(it, size), "doc_id long, shingles binary"), "shingles")
+        pairs = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+        found = materialize(pairs.select("a", "b", "sa", "sb").mapInArrow(lambda it: _similar(it, similarity), "a long, b long"), "similar")
+        if skip and found.isEmpty():
+            break
+        links = found if links is None else links.unionByName(found)
+        labels = materialize(components(links), "labels")
+        # only rows of large buckets have partners left; without links there is nothing that a round could join
+        if found.isEmpty():
+            break
+        skip = NEAREST if not skip else skip + NEAREST
+    firsts = nodes.join(labels, nodes["rep"] == labels["node"], "left").select("digest", F.coalesce("component", "rep").alias("first"))
+    return prints.join(firsts, "digest", "left").select("doc_id", "digest", F.when(F.col("doc_id").isNotNull(), F.col("first")).alias("first"))
+
+
+def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
+    """One row of each group of near copies, that of the smallest doc_id; rows with a null doc_id stay. Columns stay."""
+    found = near_copies(docs, **how)
+    kept = found.where("doc_id = first").groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"), F.min("digest").alias("digest"))
+    kept = materialize(kept, "kept")
+    columns = docs.columns
+    key = F.col("doc_id").cast("long")
+    out = docs.join(kept.select(F.col("doc_id").alias("_kept")), key == F.col("_kept"), "left_semi").select(columns)
+    if not kept.where("copies > 1").isEmpty():  # one id in several rows: the row of the least digest stays, once
+        out = out.withColumn("_digest", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["doc_id", "_digest"]).withColumn("_r", F.row_number().over(Window.partitionBy("doc_id").orderBy("_digest"))).where("_r = 1").select(columns)
+    nameless = docs.where(F.col("doc_id").isNull())
+    return out.unionByName(nameless)

@@ -100,7 +100,7 @@ def covered_words(total: int, start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _kept(text: bytes, runs) -> tuple[int, int, bytes]:
     parts = text.split()
-    gone = covered_words(len(parts), *routing.runs_of(runs))
+    gone = covered_words(len(parts), *runs)
     if not gone.any():
         return len(parts), 0, b" ".join(parts)
     return len(parts), int(gone.sum()), b" ".join(p for p, g in zip(parts, gone.tolist()) if not g)
@@ -108,20 +108,15 @@ def _kept(text: bytes, runs) -> tuple[int, int, bytes]:
 
 def _digested(batches):
     for b in batches:
-        got = [_kept(t, r) for t, r in zip(routing.unzipped(b.column("z")), b.column("runs"))]
+        got = [_kept(t, routing.runs_of(r)) for t, r in zip(routing.unzipped(b.column("z")), b.column("runs"))]
         out = [pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64()), pa.array([hashlib.sha256(x[2]).hexdigest() for x in got], pa.string())]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *out], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def _joined(batches):
-    for b in batches:
-        got = [_kept(t, r)[2].decode("utf-8", "ignore") if z.is_valid else None for z, t, r in zip(b.column("z"), routing.unzipped(b.column("z")), b.column("runs"))]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got, pa.string())], ["doc_id", "text"])
-
-
-def _marked(docs: DataFrame) -> DataFrame:
+def repeated_words(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with keys, and the runs of word windows that a smaller doc_id has too, by key."""
     own = routing.keyed(docs)
-    return routing.with_marks(own, routing.repeats(own, segments, content, compare, by_text=True)).select("doc_id", "z", "runs")
+    return own, routing.repeats(own, segments, content, compare, by_text=True)
 
 
 def dedup_digests(docs: DataFrame) -> DataFrame:
@@ -131,9 +126,12 @@ def dedup_digests(docs: DataFrame) -> DataFrame:
     different documents, ordered by a hash; equal rows are one document and get its result each, so that they
     don't remove each other; null doc_ids come last. Other columns are ignored; an empty table gives no rows.
     """
-    return _marked(docs).mapInArrow(_digested, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    own, marks = repeated_words(docs)
+    return routing.with_marks(own, marks).select("doc_id", "z", "runs").mapInArrow(_digested, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) of docs without the repeated words; kept words are joined by one space, null texts stay null."""
-    return _marked(docs).mapInArrow(_joined, "doc_id long, text string")
+    """docs without the repeated words of text, kept words joined by one space; other columns as they were."""
+    plain, names = routing.renamed(docs)
+    own, marks = repeated_words(plain)
+    return routing.with_all(docs, own, names, marks, lambda text, runs: _kept(text, runs)[2].decode("utf-8", "ignore"))

@@ -287,17 +287,13 @@ def _digested(batches):
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _cut(batches):
-    for b in batches:
-        out = []
-        for z, text, runs in zip(b.column("z"), routing.unzipped(b.column("z")), b.column("runs")):
-            s, e = removed(text, *routing.runs_of(runs))
-            at, kept = 0, []
-            for x, y in zip(s.tolist(), e.tolist()):
-                kept.append(text[at:x])
-                at = y
-            out.append(b"".join([*kept, text[at:]]).decode("utf-8", "ignore") if z.is_valid else None)
-        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc_id"), pa.array(out, pa.string())], ["key", "doc_id", "text"])
+def _cut(text: bytes, runs) -> str:
+    s, e = removed(text, *runs)
+    at, kept = 0, []
+    for x, y in zip(s.tolist(), e.tolist()):
+        kept.append(text[at:x])
+        at = y
+    return b"".join([*kept, text[at:]]).decode("utf-8", "ignore")
 
 
 def repeated_bytes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -318,6 +314,7 @@ def dedup_digests(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) without the repeated bytes; a character cut in two goes whole."""
-    own, marks = repeated_bytes(docs)
-    return routing.with_marks(own, marks).select("key", "doc_id", "z", "runs").mapInArrow(_cut, "key long, doc_id long, text string").select("doc_id", "text")
+    """docs without the repeated bytes of text, other columns as they were; a character cut in two goes whole."""
+    plain, names = routing.renamed(docs)
+    own, marks = repeated_bytes(plain)
+    return routing.with_all(docs, own, names, marks, _cut)
