@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_scratch: list[str] = []
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -35,16 +36,31 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{where.rstrip('/')}/graphloom-{spark.sparkContext.applicationId}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends here and survives lost executors."""
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage ends here and survives lost executors.
+
+    With keep, release() leaves the table alone.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not keep:
+        _scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that materialize has written so far, for callers whose results no longer read them."""
+    while _scratch:
+        _delete(spark, _scratch.pop())
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete everything that materialize wrote in this application."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_dir(spark))
+    _scratch.clear()
