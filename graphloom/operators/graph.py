@@ -137,4 +137,4 @@ def common_relations(edge_table: DataFrame, members: DataFrame, first: int = 10,
 def temporal_span(members: DataFrame) -> DataFrame:
     """Of each group (grp, first_seen, last_seen, frequency): first and last activity, whole days of elapsed time, active members."""
     t = members.groupBy("grp").agg(F.min("first_seen").alias("earliest"), F.max("last_seen").alias("latest"), F.sum(F.when(F.col("frequency") > 0, 1).otherwise(0)).cast("long").alias("active"))
-    return t.withColumn("span_days", F.floor((F.unix_micros("latest") - F.unix_micros("earliest")) / 86_400_000_000).cast("long"))
+    return t.withColumn("span_days", F.floor((F.unix_micros(F.col("latest").cast("timestamp")) - F.unix_micros(F.col("earliest").cast("timestamp"))) / 86_400_000_000).cast("long"))

@@ -113,7 +113,7 @@ def relate(mention_pairs: DataFrame, wins: DataFrame) -> DataFrame:
     Columns: doc_id, wid, source and target kind and name, relation, pattern, confidence, certainty, negation,
     and the pair's places.
     """
-    w = wins.select("doc_id", "wid", F.col("start").alias("window_start"), "evidence", matched_rules(F.col("evidence")).alias("rules"))
+    w = wins.select("doc_id", "wid", F.col("start").alias("window_start"), matched_rules(F.col("evidence")).alias("rules"), certainty(F.col("evidence")).alias("certainty"), negated(F.col("evidence")).alias("negation"))
     w = materialize(w, "windows")  # else every pair of a window would match its patterns anew
     p = mention_pairs.join(w, ["doc_id", "wid"])
     forward, back = lambda r: valid_types(F.col("kind1"), F.col("kind2"), r), lambda r: valid_types(F.col("kind2"), F.col("kind1"), r)
@@ -122,8 +122,8 @@ def relate(mention_pairs: DataFrame, wins: DataFrame) -> DataFrame:
     pick = lambda a, b: F.when(turned, F.col(b)).otherwise(F.col(a))
     return p.select(
         "doc_id", "wid", "window_start", pick("kind1", "kind2").alias("source_kind"), pick("name1", "name2").alias("source"), pick("kind2", "kind1").alias("target_kind"), pick("name2", "name1").alias("target"),
-        F.col("rule.relation").alias("relation"), F.col("rule.pattern").alias("pattern"), "start1", "stop1", "start2", "stop2", F.abs(F.col("token1") - F.col("token2")).alias("apart"), "evidence",
-        F.when(F.col("rule").isNotNull(), 0.8).alias("confidence"), certainty(F.col("evidence")).alias("certainty"), negated(F.col("evidence")).alias("negation"),
+        F.col("rule.relation").alias("relation"), F.col("rule.pattern").alias("pattern"), "start1", "stop1", "start2", "stop2", F.abs(F.col("token1") - F.col("token2")).alias("apart"),
+        F.when(F.col("rule").isNotNull(), 0.8).alias("confidence"), "certainty", "negation",
     )
 
 

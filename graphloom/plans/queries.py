@@ -610,7 +610,7 @@ def random_split(spark, d):
     return labels.split(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))).groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("WITH n AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) - 1 AS at, count(*) OVER () AS n FROM orders) SELECT id, CASE WHEN at < floor(n * 0.8) THEN 'train' ELSE 'test' END AS part FROM n")
+@query("WITH n AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) - 1 AS place, count(*) OVER () AS n FROM orders) SELECT id, CASE WHEN place < floor(n * 0.8) THEN 'train' ELSE 'test' END AS part FROM n")
 def ordered_split(spark, d):
     return labels.ordered_split(table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), F.col("id"))
 
