@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import materialize
+from graphloom.session import discard, materialize
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -29,8 +29,9 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        edges = materialize(small.where("a <> b").distinct(), "links")
-        now = _state(edges)
+        new = materialize(small.where("a <> b").distinct(), "links")
+        discard(edges)
+        edges, now = new, _state(new)
         if now == state:
             break
         state = now

@@ -46,7 +46,17 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     df.write.parquet(path)
     if not keep:
         _scratch.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind what materialize returned, once nothing reads it any more."""
+    path = getattr(df, "scratch", None)
+    if path in _scratch:
+        _scratch.remove(path)
+        _delete(df.sparkSession, path)
 
 
 def _delete(spark: SparkSession, where: str) -> None:
