@@ -26,7 +26,7 @@ from graphloom.llm.common import U, mix
 from graphloom.session import materialize
 
 #: Segments that a scan task holds before it sends them.
-HELD = 1_200_000
+HELD = 500_000
 MARK, ASK = 1, 2
 FIELDS = (("h", "<u4"), ("s", "<u8"), ("key", None), ("start", None), ("n", "<u1"))
 PLACES = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary())])
@@ -252,7 +252,7 @@ def fetch(batches, content: Callable, buckets: int):
             blobs = content(text, start, n)
             held.append((h, np.full(len(h), key, np.int64), start, n, blobs))
             size += sum(map(len, blobs)) + 32 * len(blobs)
-            if size > 24 << 20:
+            if size > 10 << 20:
                 yield send()
                 size = 0
     if held:

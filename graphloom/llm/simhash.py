@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.llm.common import U, mix, utf8
-from graphloom.llm.components import components
-from graphloom.session import materialize
+from graphloom.llm.routing import unzipped, zipped
+from graphloom.operators.components import components
+from graphloom.session import discard, materialize
 
 BITS = 64
 #: Numbers of partitions that are weighed against each other, up to radius + 1.
-PARTITIONS = range(1, 9)
+PARTITIONS = range(1, 14)
 #: What a signature that is written, dealt out and sorted costs, in comparisons of two fingerprints.
-SIGNATURE = 400.0
+SIGNATURE = 2000.0
 #: Fingerprints with one signature beyond which the bucket is split again by bits that its signature leaves free.
 CROWDED = 4096
 LEVELS = 3
@@ -121,6 +122,7 @@ def allocate(n: int, mean: np.ndarray, product: np.ndarray, radius: int) -> list
     far finds the thresholds with the least estimated cost: signatures written plus pairs compared.
     """
     best: tuple[float, list] = (np.inf, [])
+    n = max(n, 1000)  # few fingerprints would make any number of signatures look cheap
     for m in PARTITIONS:
         if m > radius + 1:
             break
@@ -129,7 +131,7 @@ def allocate(n: int, mean: np.ndarray, product: np.ndarray, radius: int) -> list
         for own in parts:
             share, grown = agreement(mean, product, own), {}
             for done, (cost, chosen) in table.items():
-                for t in range(-1, min(len(own), radius) + 1):
+                for t in range(-1, min(len(own) // 2, radius) + 1):  # half of the bits stay, so that no bucket holds all
                     ways = comb(len(own), t) if t >= 0 else 0
                     more = cost + ways * (SIGNATURE * n + n * n / 2 * share ** ((len(own) - t) / len(own)))
                     if more < grown.get(done + t, (np.inf,))[0]:
@@ -293,8 +295,11 @@ def near_dedup(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
 
 # Near copies by similarity: fingerprints propose, shingle sets decide.
 
-#: Partners that a row of a large bucket has verified at once; with more, its NEAREST alone, and others in later rounds.
-FEW, NEAREST = 4, 2
+#: Partners in a large bucket that are all compared at once. Of a text with more, as many nearest ones over all buckets
+#: are in the first round, and WIDER times as many in each that follows.
+FEW, WIDER = 4, 3
+#: Rounds at most; each goes on only if the one before joined groups.
+ROUNDS = 4
 #: Rows of a bucket up to which every pair in it is verified.
 SMALL = 48
 #: Different texts are compared where their counts of shingles are within a factor of 4, or close to it.
@@ -314,59 +319,81 @@ def _profile(batches, size, print_size):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in out], pa.binary()), pa.array(fp), pa.array([x[2] for x in out], pa.int64())], ["doc_id", "digest", "fp", "weight"])
 
 
-def _proposed(batches, radius, similarity, skip):
-    """Pairs (a, b) of different labels within radius, b the smaller, of sizes that allow the similarity."""
+def _proposed(batches, radius, similarity, wanted):
+    """(a, b, gap): pairs of different labels within radius, b the smaller, of sizes that allow the similarity.
+
+    A pair is proposed under the first of its common signatures alone. Small buckets propose all their pairs, with
+    gap -1. So does a row of a large bucket that has FEW partners there; with more, it
+    proposes the nearest with their distance, and it and the others come as (a, a, 0), to be heard again.
+    """
+    mask = np.array(wanted, U)
+    number = {m: i for i, m in enumerate(wanted)}
 
     def fit(got, i, j):
         w, v = got["weight"][i], got["weight"][j]
         return (np.minimum(w, v) >= similarity * np.maximum(w, v)) & (got["label"][i] != got["label"][j])
 
-    for got in by_signature(batches, ("sig", "fp", "rep", "weight", "label")):
+    def own_bucket(x, which):
+        out = np.zeros(len(x), bool)
+        for k in range(0, len(x), 1 << 15):
+            out[k : k + (1 << 15)] = ((x[k : k + (1 << 15), None] & mask) == 0).argmax(1) == which[k : k + (1 << 15)]
+        return out
+
+    for got in by_signature(batches, ("sig", "used", "fp", "rep", "weight", "label")):
         sig, fp, rep = got["sig"], got["fp"].view(U), got["rep"]
         head = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
         size = np.diff(np.append(head, len(sig)))
-        left, right = [], []
+        which = np.repeat([number[int(m)] for m in got["used"].view(U)[head]], size)
+        left, right, gaps = [], [], []
         rows, end, step = np.flatnonzero(np.repeat((size > 1) & (size <= SMALL), size)), np.repeat(head + size, size), 1
-        while not skip and len(rows := rows[rows + step < end[rows]]):
-            near = rows[(np.bitwise_count(fp[rows] ^ fp[rows + step]) <= radius) & fit(got, rows, rows + step)]
-            left.append(near)
-            right.append(near + step)
+        while len(rows := rows[rows + step < end[rows]]):
+            x = fp[rows] ^ fp[rows + step]
+            near = np.flatnonzero((np.bitwise_count(x) <= radius) & fit(got, rows, rows + step))
+            near = near[own_bucket(x[near], which[rows[near]])]
+            left.append(rows[near])
+            right.append(rows[near] + step)
+            gaps.append(np.full(len(near), -1))
             step += 1
         for h, s in zip(head[size > SMALL].tolist(), size[size > SMALL].tolist()):
             own = np.arange(h, h + s)
             for k in range(0, s, 256):
                 i = own[k : k + 256]
-                gap = np.bitwise_count(fp[i, None] ^ fp[None, own])
-                ok = (gap <= radius) & (rep[None, own] < rep[i, None]) & fit(got, i[:, None], own[None, :])
-                count = ok.sum(1)
-                some = ok & (count <= FEW)[:, None] if not skip else np.zeros_like(ok)
-                a, b = np.nonzero(some)
-                left.append(i[a])
-                right.append(own[b])
-                for r in np.flatnonzero(count > FEW):
-                    c = np.flatnonzero(ok[r])
-                    c = c[np.lexsort((rep[own[c]], gap[r, c]))][skip : skip + NEAREST]
-                    left.append(np.full(len(c), i[r]))
-                    right.append(own[c])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+                x = fp[i, None] ^ fp[None, own]
+                gap = np.bitwise_count(x)
+                a, b = np.nonzero((gap <= radius) & (rep[None, own] < rep[i, None]) & fit(got, i[:, None], own[None, :]))
+                ok = own_bucket(x[a, b], np.full(len(a), which[h]))
+                a, b = a[ok], b[ok]
+                order = np.lexsort((rep[own[b]], gap[a, b], a))
+                a, b = a[order], b[order]
+                nearest = np.ones(len(a), bool)
+                nearest[1:] = a[1:] != a[:-1]
+                few = np.bincount(a, minlength=len(i))[a] <= FEW
+                told = few | nearest
+                left.append(i[a[told]])
+                right.append(own[b[told]])
+                gaps.append(np.where(few, -1, gap[a, b].astype(np.int64))[told])
+                again = np.unique(np.concatenate([i[a[~told]], own[b[~told]]]))
+                left.append(again)
+                right.append(again)
+                gaps.append(np.zeros(len(again), np.int64))
+        a, b, g = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right, gaps))
         a, b = np.maximum(rep[a], rep[b]), np.minimum(rep[a], rep[b])
         if len(a):
-            pairs = np.unique(np.stack([a, b], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+            rows = np.unique(np.stack([a, b, g], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, k].copy()) for k in range(3)], ["a", "b", "gap"])
 
 
 def _sets(batches, size):
     for b in batches:
-        flat, offs = utf8(b.column("text"))
-        whole = memoryview(flat)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([np.unique(shingle_hashes(bytes(whole[x:y]), size)).tobytes() for x, y in zip(offs[:-1].tolist(), offs[1:].tolist())], pa.binary())], ["doc_id", "shingles"])
+        sets = [np.unique((shingle_hashes(t, size) >> U(32)).astype(np.uint32)).tobytes() for t in unzipped(b.column("z"))]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
 
 def _similar(batches, similarity):
     for b in batches:
         keep = []
         for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist()):
-            u, v = np.frombuffer(x, U), np.frombuffer(y, U)
+            u, v = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
             both = len(np.intersect1d(u, v, True))
             keep.append(both >= similarity * (len(u) + len(v) - both) - 1e-9)
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -375,10 +402,10 @@ def _similar(batches, similarity):
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, print_size: int = 3, radius: int = 11) -> DataFrame:
     """(doc_id, digest, first): each row's text digest and the smallest doc_id of its group of near copies.
 
-    Links join equal texts, and different ones whose sets of shingles of size words have a Jaccard similarity of at
-    least `similarity`. Pairs within radius of the fingerprints over print_size words are proposed; their sets, from
+    Links join equal texts, and different ones whose sets of shingles of size words, hashed to 32 bits, have a Jaccard
+    similarity of at least `similarity`. Pairs within radius of the fingerprints over print_size words are proposed; their sets, from
     the whole texts, decide. In a large bucket a text with many partners is compared with its nearest ones first;
-    while that joins groups, another round proposes the next nearest in other groups. Rows with a null doc_id
+    while that joins groups, another round proposes more of those in other groups. Rows with a null doc_id
     have a null first and no part in it. Empty texts are copies of each other alone.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -389,25 +416,33 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, print_s
     nodes = materialize(nodes.select("digest", "rep", "fp", "weight"), "texts")
     single = nodes.where("weight > 0").select("rep", "fp", "weight", F.explode(F.array_distinct(F.array(level(F.col("weight")), level(F.col("weight") / similarity)))).alias("band"))
     wanted = masks(allocate(*moments(single), radius))
-    labels, skip, sets, links = None, 0, None, None
-    while True:
-        signed = single.mapInArrow(lambda it: _signed(it, wanted), "sig long, used long, fp long, rep long, weight long").drop("used")
-        signed = signed.withColumn("label", F.col("rep")) if labels is None else signed.join(labels, signed["rep"] == labels["node"], "left").select("sig", "fp", "rep", "weight", F.coalesce("component", "rep").alias("label"))
-        near = signed.repartition(parts, "sig").sortWithinPartitions("sig").mapInArrow(lambda it, k=skip: _proposed(it, radius, similarity, k), "a long, b long").distinct()
-        near = materialize(near, "proposed")
-        ids = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
-        texts = own.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        sets = materialize(texts.mapInArrow(lambda it: _sets(it, size), "doc_id long, shingles binary"), "shingles")
+    labels, links, most, sets, rest = None, None, FEW, None, None
+    for _ in range(ROUNDS):
+        first = labels is None
+        heard = single if first else single.join(rest, single["rep"] == rest["a"], "left_semi")
+        signed = heard.mapInArrow(lambda it: _signed(it, wanted), "sig long, used long, fp long, rep long, weight long")
+        signed = signed.withColumn("label", F.col("rep")) if first else signed.join(labels, signed["rep"] == labels["node"], "left").select("sig", "used", "fp", "rep", "weight", F.coalesce("component", "rep").alias("label"))
+        told = signed.repartition(parts, "sig").sortWithinPartitions("sig").mapInArrow(lambda it: _proposed(it, radius, similarity, wanted), "a long, b long, gap long")
+        told = materialize(told, "proposed")
+        rest = told.where("a = b").select("a").distinct()
+        order = Window.partitionBy("a").orderBy("gap", "b")
+        few = told.where("a <> b and gap >= 0").groupBy("a", "b").agg(F.min("gap").alias("gap")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("a", "b")
+        near = materialize(told.where("gap < 0").select("a", "b").unionByName(few).distinct(), "near")
+        if first:
+            ids = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).unionByName(rest.select(F.col("a").alias("doc_id"))).distinct()
+            texts = zipped(own.withColumn("key", F.col("doc_id"))).select("doc_id", "z").join(ids.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+            sets = materialize(texts.mapInArrow(lambda it: _sets(it, size), "doc_id long, shingles binary"), "shingles")
         pairs = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
         found = materialize(pairs.select("a", "b", "sa", "sb").mapInArrow(lambda it: _similar(it, similarity), "a long, b long"), "similar")
-        if skip and found.isEmpty():
-            break
-        links = found if links is None else links.unionByName(found)
-        labels = materialize(components(links), "labels")
-        # only rows of large buckets have partners left; without links there is nothing that a round could join
-        if found.isEmpty():
+        joined = not found.isEmpty()
+        if first or joined:
+            links = found if first else links.unionByName(found)
+            old, labels = labels, materialize(components(links), "labels")
+            if old is not None:
+                discard(old)
+        if rest.isEmpty() or not (first or joined):
             break
-        skip = NEAREST if not skip else skip + NEAREST
+        most *= WIDER
     firsts = nodes.join(labels, nodes["rep"] == labels["node"], "left").select("digest", F.coalesce("component", "rep").alias("first"))
     return prints.join(firsts, "digest", "left").select("doc_id", "digest", F.when(F.col("doc_id").isNotNull(), F.col("first")).alias("first"))
 

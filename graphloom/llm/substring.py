@@ -126,7 +126,7 @@ def dedup_digests(docs: DataFrame) -> DataFrame:
     different documents, ordered by a hash; equal rows are one document and get its result each, so that they
     don't remove each other; null doc_ids come last. Other columns are ignored; an empty table gives no rows.
     """
-    own, marks = repeated_words(docs)
+    own, marks = repeated_words(docs.select("doc_id", "text"))
     return routing.with_marks(own, marks).select("doc_id", "z", "runs").mapInArrow(_digested, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 

@@ -16,9 +16,9 @@ from graphloom.llm.common import BASE, BYTE, U, mix, pieces, prefix, repeated, r
 LENGTH, GRAM = 100, 36
 #: Bits of a position within a slice; the rest of an order key is the anchor's hash.
 PLACE = 24
-SLICE = 1 << 22
+SLICE = 1 << 20
 #: Bytes that one index is built over, or one group of segments with a common anchor.
-INDEXED = 1 << 19
+INDEXED = 1 << 18
 
 
 def segments(batch):
@@ -309,7 +309,7 @@ def dedup_digests(docs: DataFrame) -> DataFrame:
     texts are different documents, ordered by a hash; equal rows are one document and get its result each; null
     doc_ids come last. Other columns are ignored; an empty table gives no rows. Long texts are read in slices.
     """
-    own, marks = repeated_bytes(docs)
+    own, marks = repeated_bytes(docs.select("doc_id", "text"))
     return routing.with_marks(own, marks).select("doc_id", "z", "runs").mapInArrow(_digested, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
