@@ -115,5 +115,27 @@ FROM marked GROUP BY conv_id
 """
 
 
+def _quality_sql() -> str:
+    from graphloom.llm.quality import LINE_SHARE, NGRAM_SHARE
+
+    own = "OVER (PARTITION BY doc_id ORDER BY i)"
+    grams = ", ".join("w || ' ' || " + " || ' ' || ".join(f"lead(w, {k}) {own}" for k in range(1, n)) + f" AS g{n}" for n in NGRAM_SHARE)
+    again = ", ".join(f"(g{n} IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g{n}) > 1) AS d{n}" for n in NGRAM_SHARE)
+    inside = ", ".join(f"bool_or(d{n}) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS c{n}" for n in NGRAM_SHARE)
+    sums = ", ".join(f"coalesce(sum(length(w)) FILTER (WHERE c{n}), 0) AS s{n}" for n in NGRAM_SHARE)
+    good = " AND ".join(f"coalesce(s{n}, 0) <= {share} * coalesce(word_chars, 0)" for n, share in NGRAM_SHARE.items())
+    return rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t),
+    ll AS (SELECT doc_id, line, count(*) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1, 2),
+    li AS (SELECT doc_id, sum(n - 1) AS dup, sum((n - 1) * length(line)) AS dup_chars, sum(n * length(line)) AS chars FROM ll GROUP BY 1),
+    a AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM t), w AS (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM a),
+    g AS (SELECT doc_id, i, w, {grams} FROM w), d AS (SELECT doc_id, i, w, {again} FROM g), c AS (SELECT doc_id, w, {inside} FROM d),
+    s AS (SELECT doc_id, count(*) AS n_words, sum(length(w)) AS word_chars, count(*) FILTER (WHERE c5) AS n_repeat, {sums} FROM c GROUP BY 1),
+    r AS (SELECT t.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+      CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words, coalesce(dup_chars, 0) <= {LINE_SHARE} * coalesce(chars, 0) AND {good} AS good
+      FROM t LEFT JOIN li USING (doc_id) LEFT JOIN s USING (doc_id)),
+    f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM r)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND good AS kept FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat": _CHAT_SQL.replace("\\\\", "\\")}
+    return {"op4_quality": _quality_sql().replace("\\\\", "\\"), "op9_chat": _CHAT_SQL.replace("\\\\", "\\")}
