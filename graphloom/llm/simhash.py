@@ -298,8 +298,9 @@ def near_dedup(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
 #: Partners in a large bucket that are all compared at once. Of a text with more, as many nearest ones over all buckets
 #: are in the first round, and WIDER times as many in each that follows.
 FEW, WIDER = 4, 3
-#: Rounds at most; each goes on only if the one before joined groups.
-ROUNDS = 4
+#: Rounds of nearest partners go on while one of so many texts that have more partners got a link; all pairs of different
+#: groups that are left are then compared.
+WORTH = 8
 #: Rows of a bucket up to which every pair in it is verified.
 SMALL = 48
 #: Different texts are compared where their counts of shingles are within a factor of 4, or close to it.
@@ -319,12 +320,13 @@ def _profile(batches, size, print_size):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in out], pa.binary()), pa.array(fp), pa.array([x[2] for x in out], pa.int64())], ["doc_id", "digest", "fp", "weight"])
 
 
-def _proposed(batches, radius, similarity, wanted):
+def _proposed(batches, radius, similarity, wanted, every=False):
     """(a, b, gap): pairs of different labels within radius, b the smaller, of sizes that allow the similarity.
 
     A pair is proposed under the first of its common signatures alone. Small buckets propose all their pairs, with
     gap -1. So does a row of a large bucket that has FEW partners there; with more, it
-    proposes the nearest with their distance, and it and the others come as (a, a, 0), to be heard again.
+    proposes the nearest with their distance, and it and the others come as (a, a, 0), to be heard again. With every,
+    large buckets propose all their pairs too.
     """
     mask = np.array(wanted, U)
     number = {m: i for i, m in enumerate(wanted)}
@@ -367,7 +369,7 @@ def _proposed(batches, radius, similarity, wanted):
                 a, b = a[order], b[order]
                 nearest = np.ones(len(a), bool)
                 nearest[1:] = a[1:] != a[:-1]
-                few = np.bincount(a, minlength=len(i))[a] <= FEW
+                few = np.full(len(a), every) | (np.bincount(a, minlength=len(i))[a] <= FEW)
                 told = few | nearest
                 left.append(i[a[told]])
                 right.append(own[b[told]])
@@ -405,8 +407,9 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, print_s
     Links join equal texts, and different ones whose sets of shingles of size words, hashed to 32 bits, have a Jaccard
     similarity of at least `similarity`. Pairs within radius of the fingerprints over print_size words are proposed; their sets, from
     the whole texts, decide. In a large bucket a text with many partners is compared with its nearest ones first;
-    while that joins groups, another round proposes more of those in other groups. Rows with a null doc_id
-    have a null first and no part in it. Empty texts are copies of each other alone.
+    while that joins groups, another round proposes more of those in other groups; the last one compares all pairs
+    of different groups that are left. Rows with a null doc_id have a null first and no part in it. Empty texts are
+    copies of each other alone.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -416,13 +419,13 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, print_s
     nodes = materialize(nodes.select("digest", "rep", "fp", "weight"), "texts")
     single = nodes.where("weight > 0").select("rep", "fp", "weight", F.explode(F.array_distinct(F.array(level(F.col("weight")), level(F.col("weight") / similarity)))).alias("band"))
     wanted = masks(allocate(*moments(single), radius))
-    labels, links, most, sets, rest = None, None, FEW, None, None
-    for _ in range(ROUNDS):
+    labels, links, most, sets, rest, every = None, None, FEW, None, None, False
+    while True:
         first = labels is None
         heard = single if first else single.join(rest, single["rep"] == rest["a"], "left_semi")
         signed = heard.mapInArrow(lambda it: _signed(it, wanted), "sig long, used long, fp long, rep long, weight long")
         signed = signed.withColumn("label", F.col("rep")) if first else signed.join(labels, signed["rep"] == labels["node"], "left").select("sig", "used", "fp", "rep", "weight", F.coalesce("component", "rep").alias("label"))
-        told = signed.repartition(parts, "sig").sortWithinPartitions("sig").mapInArrow(lambda it: _proposed(it, radius, similarity, wanted), "a long, b long, gap long")
+        told = signed.repartition(parts, "sig").sortWithinPartitions("sig").mapInArrow(lambda it, every=every: _proposed(it, radius, similarity, wanted, every), "a long, b long, gap long")
         told = materialize(told, "proposed")
         rest = told.where("a = b").select("a").distinct()
         order = Window.partitionBy("a").orderBy("gap", "b")
@@ -434,14 +437,16 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, print_s
             sets = materialize(texts.mapInArrow(lambda it: _sets(it, size), "doc_id long, shingles binary"), "shingles")
         pairs = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
         found = materialize(pairs.select("a", "b", "sa", "sb").mapInArrow(lambda it: _similar(it, similarity), "a long, b long"), "similar")
-        joined = not found.isEmpty()
+        joined = found.count()
         if first or joined:
             links = found if first else links.unionByName(found)
             old, labels = labels, materialize(components(links), "labels")
             if old is not None:
                 discard(old)
-        if rest.isEmpty() or not (first or joined):
+        left = rest.count()
+        if not left:
             break
+        every = WORTH * joined < left
         most *= WIDER
     firsts = nodes.join(labels, nodes["rep"] == labels["node"], "left").select("digest", F.coalesce("component", "rep").alias("first"))
     return prints.join(firsts, "digest", "left").select("doc_id", "digest", F.when(F.col("doc_id").isNotNull(), F.col("first")).alias("first"))

@@ -118,6 +118,52 @@ def test_near_copies(spark, empty):
     assert drop_near_copies(empty).count() == 0
 
 
+def alike(rows, size=5, similarity=0.8):
+    """Smallest doc_id of each one's group of near copies, by comparing all pairs."""
+    sets = {}
+    for i, t in rows:
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)}
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            both = len(sets[i] & sets[j])
+            if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return {i: top(i) for i in ids}
+
+
+def edited(words, places, tag):
+    return [f"{tag}x{k}" if k in places else w for k, w in enumerate(words)]
+
+
+def crowd(n, at=1000):
+    """n pairs of near copies, all edited from one text: pairs are alike, texts of different pairs are not."""
+    base, out = [f"w{k}" for k in range(100)], []
+    for i in range(n):
+        *a, c = np.random.default_rng(i).choice(np.arange(5, 95, 6), 4, replace=False).tolist()
+        one = edited(base, a, f"e{i}")
+        out += [(at + i, " ".join(one)), (at + n + i, " ".join(edited(one, {c}, f"f{i}")))]
+    return out
+
+
+def test_near_copies_in_a_crowd_of_others(spark):
+    from graphloom.llm.simhash import near_copies
+
+    rows = crowd(150)
+    want = alike(rows)
+    assert len(set(want.values())) == 150
+    assert {r["doc_id"]: r["first"] for r in near_copies(table(spark, rows)).collect()} == want
+
+
 def test_secrets(spark, docs, empty):
     from graphloom.llm.secrets import RULES, find_secrets, redact_secrets
 
