@@ -298,9 +298,13 @@ def near_dedup(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
 #: Partners in a large bucket that are all compared at once. Of a text with more, as many nearest ones over all buckets
 #: are in the first round, and WIDER times as many in each that follows.
 FEW, WIDER = 4, 3
-#: Rounds of nearest partners go on while one of so many texts that have more partners got a link; all pairs of different
-#: groups that are left are then compared.
+#: Rounds of nearest partners go on while one of so many texts that have more partners got a link; the exact candidates
+#: of different groups are then compared.
 WORTH = 8
+#: Texts, about, whose shingles are counted to tell common ones, and how often a common one occurs there at least.
+SAMPLE, COMMON = 10_000, 4
+#: Common shingles at most that are sent to all tasks.
+MOST_COMMON = 1 << 16
 #: Rows of a bucket up to which every pair in it is verified.
 SMALL = 48
 #: Different texts are compared where their counts of shingles are within a factor of 4, or close to it.
@@ -320,13 +324,12 @@ def _profile(batches, size, print_size):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in out], pa.binary()), pa.array(fp), pa.array([x[2] for x in out], pa.int64())], ["doc_id", "digest", "fp", "weight"])
 
 
-def _proposed(batches, radius, similarity, wanted, every=False):
+def _proposed(batches, radius, similarity, wanted):
     """(a, b, gap): pairs of different labels within radius, b the smaller, of sizes that allow the similarity.
 
     A pair is proposed under the first of its common signatures alone. Small buckets propose all their pairs, with
     gap -1. So does a row of a large bucket that has FEW partners there; with more, it
-    proposes the nearest with their distance, and it and the others come as (a, a, 0), to be heard again. With every,
-    large buckets propose all their pairs too.
+    proposes the nearest with their distance, and it and the others come as (a, a, 0), to be heard again.
     """
     mask = np.array(wanted, U)
     number = {m: i for i, m in enumerate(wanted)}
@@ -369,7 +372,7 @@ def _proposed(batches, radius, similarity, wanted, every=False):
                 a, b = a[order], b[order]
                 nearest = np.ones(len(a), bool)
                 nearest[1:] = a[1:] != a[:-1]
-                few = np.full(len(a), every) | (np.bincount(a, minlength=len(i))[a] <= FEW)
+                few = np.bincount(a, minlength=len(i))[a] <= FEW
                 told = few | nearest
                 left.append(i[a[told]])
                 right.append(own[b[told]])
@@ -391,6 +394,85 @@ def _sets(batches, size):
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
 
+def _counted(batches, size):
+    for b in batches:
+        if not b.num_rows:
+            continue
+        flat, offs = utf8(b.column("text"))
+        whole = memoryview(flat)
+        sets = [np.unique(shingle_hashes(bytes(whole[x:y]), size)) for x, y in zip(offs[:-1].tolist(), offs[1:].tolist())]
+        token, n = np.unique(np.concatenate(sets), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], ["sig", "n"])
+
+
+def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts of a sample have, in ascending order, and their counts there."""
+    every = max(1, docs.count() // SAMPLE)
+    some = docs.where("doc_id is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    rows = some.mapInArrow(lambda it: _counted(it, size), "sig long, n long").groupBy("sig").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    got = sorted((r["sig"] % 2**64, r["n"]) for r in rows.orderBy(F.desc("n"), "sig").limit(MOST_COMMON).collect())
+    return np.array([x[0] for x in got], U), np.array([x[1] for x in got], np.int64)
+
+
+def prefix_length(n, similarity: float):
+    """Shingles of n, from the front of an order that all sets share, of which similar sets have one in common."""
+    return n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+
+
+def _prefixes(batches, size, similarity, token, count):
+    """(sig, rep, label, weight, place): the front of each text's set, rare shingles first, then by hash."""
+    for b in batches:
+        out = []
+        for rep, label, t in zip(b.column("doc_id").to_pylist(), b.column("label").to_pylist(), unzipped(b.column("z"))):
+            own = np.unique(shingle_hashes(t, size))
+            if not len(own):
+                continue
+            if len(token):
+                at = np.minimum(np.searchsorted(token, own), len(token) - 1)
+                own = own[np.argsort(np.where(token[at] == own, count[at], 0), kind="stable")]
+            n = len(own)
+            front = own[: int(prefix_length(np.int64(n), similarity))]
+            out.append((front.view(np.int64), *(np.full(len(front), x, np.int64) for x in (rep, label, n)), np.arange(len(front))))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["sig", "rep", "label", "weight", "place"])
+
+
+def _sharing(batches, similarity):
+    """(a, b): pairs of different labels that may be similar, of prefixes sorted by shingle and size of set.
+
+    The first common shingle of two sets, in the shared order, leaves them no more in common than either has from there
+    on; so a pair whose overlap would need more is left to its first common shingle, where it passes if it is similar.
+    """
+
+    def pairs(rep, left, right):
+        a, b = (np.concatenate(x) for x in (left, right))
+        both = np.unique(np.stack([np.maximum(rep[a], rep[b]), np.minimum(rep[a], rep[b])], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, k].copy()) for k in range(2)], ["a", "b"])
+
+    for got in by_signature(batches, ("sig", "rep", "label", "weight", "place")):
+        sig, rep, label, weight = (got[c] for c in ("sig", "rep", "label", "weight"))
+        rest = weight - got["place"]
+        head = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        size = np.diff(np.append(head, len(sig)))
+        mixed = np.minimum.reduceat(label, head) != np.maximum.reduceat(label, head)
+        rows, end, step = np.flatnonzero(np.repeat(mixed, size)), np.repeat(head + size, size), 1
+        left, right, held = [], [], 0
+        while len(rows := rows[rows + step < end[rows]]):
+            rows = rows[weight[rows] >= similarity * weight[rows + step] - 1e-9]  # partners further on are larger still
+            other = rows + step
+            need = np.ceil(similarity / (1 + similarity) * (weight[rows] + weight[other]) - 1e-9)
+            ok = (label[rows] != label[other]) & (np.minimum(rest[rows], rest[other]) >= need)
+            left.append(rows[ok])
+            right.append(other[ok])
+            held += len(left[-1])
+            if held > 1 << 20:
+                yield pairs(rep, left, right)
+                left, right, held = [], [], 0
+            step += 1
+        if held:
+            yield pairs(rep, left, right)
+
+
 def _similar(batches, similarity):
     for b in batches:
         keep = []
@@ -405,11 +487,12 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, print_s
     """(doc_id, digest, first): each row's text digest and the smallest doc_id of its group of near copies.
 
     Links join equal texts, and different ones whose sets of shingles of size words, hashed to 32 bits, have a Jaccard
-    similarity of at least `similarity`. Pairs within radius of the fingerprints over print_size words are proposed; their sets, from
-    the whole texts, decide. In a large bucket a text with many partners is compared with its nearest ones first;
-    while that joins groups, another round proposes more of those in other groups; the last one compares all pairs
-    of different groups that are left. Rows with a null doc_id have a null first and no part in it. Empty texts are
-    copies of each other alone.
+    similarity of at least `similarity`. Pairs within radius of the fingerprints over print_size words are proposed first;
+    their sets, from the whole texts, decide. In a large bucket a text with many partners is compared with its nearest
+    ones; while that joins groups, another round proposes more of those in other groups. That makes most links cheaply
+    and large groups whole. Then all pairs of different groups that may be similar are compared: sets put in one shared
+    order have a shingle of their prefixes in common if they are similar, so none is missed, whatever its fingerprints.
+    Rows with a null doc_id have a null first and no part in it. Empty texts are copies of each other alone.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -419,24 +502,32 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, print_s
     nodes = materialize(nodes.select("digest", "rep", "fp", "weight"), "texts")
     single = nodes.where("weight > 0").select("rep", "fp", "weight", F.explode(F.array_distinct(F.array(level(F.col("weight")), level(F.col("weight") / similarity)))).alias("band"))
     wanted = masks(allocate(*moments(single), radius))
-    labels, links, most, sets, rest, every = None, None, FEW, None, None, False
+    texts = zipped(own.withColumn("key", F.col("doc_id"))).select("doc_id", "z")
+
+    def shingled(ids):
+        some = texts.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        return materialize(some.mapInArrow(lambda it: _sets(it, size), "doc_id long, shingles binary"), "shingles")
+
+    def similar(pairs, sets):
+        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+        return materialize(both.select("a", "b", "sa", "sb").mapInArrow(lambda it: _similar(it, similarity), "a long, b long"), "similar")
+
+    ends = F.explode(F.array("a", "b")).alias("doc_id")
+    labels, links, most, sets, rest = None, None, FEW, None, None
     while True:
         first = labels is None
         heard = single if first else single.join(rest, single["rep"] == rest["a"], "left_semi")
         signed = heard.mapInArrow(lambda it: _signed(it, wanted), "sig long, used long, fp long, rep long, weight long")
         signed = signed.withColumn("label", F.col("rep")) if first else signed.join(labels, signed["rep"] == labels["node"], "left").select("sig", "used", "fp", "rep", "weight", F.coalesce("component", "rep").alias("label"))
-        told = signed.repartition(parts, "sig").sortWithinPartitions("sig").mapInArrow(lambda it, every=every: _proposed(it, radius, similarity, wanted, every), "a long, b long, gap long")
+        told = signed.repartition(parts, "sig").sortWithinPartitions("sig").mapInArrow(lambda it: _proposed(it, radius, similarity, wanted), "a long, b long, gap long")
         told = materialize(told, "proposed")
         rest = told.where("a = b").select("a").distinct()
         order = Window.partitionBy("a").orderBy("gap", "b")
         few = told.where("a <> b and gap >= 0").groupBy("a", "b").agg(F.min("gap").alias("gap")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("a", "b")
         near = materialize(told.where("gap < 0").select("a", "b").unionByName(few).distinct(), "near")
         if first:
-            ids = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).unionByName(rest.select(F.col("a").alias("doc_id"))).distinct()
-            texts = zipped(own.withColumn("key", F.col("doc_id"))).select("doc_id", "z").join(ids.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-            sets = materialize(texts.mapInArrow(lambda it: _sets(it, size), "doc_id long, shingles binary"), "shingles")
-        pairs = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-        found = materialize(pairs.select("a", "b", "sa", "sb").mapInArrow(lambda it: _similar(it, similarity), "a long, b long"), "similar")
+            sets = shingled(near.select(ends).unionByName(rest.select(F.col("a").alias("doc_id"))).distinct())
+        found = similar(near, sets)
         joined = found.count()
         if first or joined:
             links = found if first else links.unionByName(found)
@@ -444,10 +535,18 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, print_s
             if old is not None:
                 discard(old)
         left = rest.count()
-        if not left:
+        if not left or WORTH * joined < left:
             break
-        every = WORTH * joined < left
         most *= WIDER
+    discard(sets)
+    token, count = common_shingles(own, size)
+    known = nodes.where("weight > 0").select("rep").distinct().join(labels, F.col("rep") == labels["node"], "left").select(F.col("rep").alias("doc_id"), F.coalesce("component", "rep").alias("label"))
+    fronts = texts.join(known.hint("shuffle_hash"), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(lambda it: _prefixes(it, size, similarity, token, count), "sig long, rep long, label long, weight long, place long")
+    shared = fronts.repartition(parts, "sig").sortWithinPartitions("sig", "weight").mapInArrow(lambda it: _sharing(it, similarity), "a long, b long").distinct()
+    shared = materialize(shared, "shared")
+    found = similar(shared, shingled(shared.select(ends).distinct()))
+    if not found.isEmpty():
+        labels = materialize(components(links.unionByName(found)), "labels")
     firsts = nodes.join(labels, nodes["rep"] == labels["node"], "left").select("digest", F.coalesce("component", "rep").alias("first"))
     return prints.join(firsts, "digest", "left").select("doc_id", "digest", F.when(F.col("doc_id").isNotNull(), F.col("first")).alias("first"))
 

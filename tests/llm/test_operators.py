@@ -164,6 +164,39 @@ def test_near_copies_in_a_crowd_of_others(spark):
     assert {r["doc_id"]: r["first"] for r in near_copies(table(spark, rows)).collect()} == want
 
 
+def blocks(n, at=3000):
+    """n pairs of texts of 300 words, the second with 27 words in one place replaced, or 70 appended: over 0.8 alike."""
+    out = []
+    for i in range(n):
+        words = np.random.default_rng(i).integers(0, 5000, 300).astype(str).tolist()
+        out.append((at + i, " ".join(words)))
+        out.append((at + n + i, " ".join(edited(words, range(40, 67), f"b{i}") if i % 2 else [*words, *(f"c{i}x{k}" for k in range(70))])))
+    return out
+
+
+def test_near_copies_edited_in_one_block(spark):
+    from graphloom.llm.simhash import near_copies
+
+    rows = blocks(100)
+    want = alike(rows)
+    assert len(set(want.values())) == 100
+    assert {r["doc_id"]: r["first"] for r in near_copies(table(spark, rows)).collect()} == want
+
+
+def test_prefixes_of_similar_sets_meet():
+    from graphloom.llm.simhash import _prefixes, _sharing
+
+    import pyarrow as pa
+    import zstandard
+
+    rows = [*crowd(20), *blocks(20), (1, "a b"), (2, "A  b"), (3, "")]
+    b = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([i for i, _ in rows]), pa.array([zstandard.compress(t.encode()) for _, t in rows])], ["doc_id", "label", "z"])
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    got = pa.Table.from_batches(_prefixes([b], 5, 0.8, *none)).sort_by([("sig", "ascending"), ("weight", "ascending")]).combine_chunks()
+    pairs = {(x["a"], x["b"]) for found in _sharing(got.to_batches(), 0.8) for x in found.to_pylist()}
+    assert pairs >= {(1020 + i, 1000 + i) for i in range(20)} | {(3020 + i, 3000 + i) for i in range(20)} | {(2, 1)}
+
+
 def test_secrets(spark, docs, empty):
     from graphloom.llm.secrets import RULES, find_secrets, redact_secrets
 
