@@ -455,3 +455,24 @@ def test_pipeline(spark, tmp_path, corpus):
             assert done.columns == docs.columns
             docs = done
     assert c.run(spark, d).count() == done.count()
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline as c
+
+    rows = [*crowd(120), *blocks(30)]
+    data = [(i, t, "en", "s", len(t)) for i, t in rows]
+    (tmp_path / "d").mkdir()
+    spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "d" / "documents.parquet"))
+    d, out = str(tmp_path / "d"), {}
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for name, stage in c.STAGES[:3]:
+        stage(spark, docs, d).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        out[name] = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert out["quality_rules"] == dict(rows)
+    first = alike(rows)
+    left = {i: t for i, t in rows if first[i] == i}
+    assert len(left) == 150 and out["near_dedup"] == left
+    want = bytes_left(left.items())
+    assert {i: hashlib.sha256(t.encode()).hexdigest() for i, t in out["suffix_dedup"].items()} == {i: w[3] for i, w in want.items()}
