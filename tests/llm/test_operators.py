@@ -410,6 +410,30 @@ def test_nearest(spark):
     assert nearest(few.limit(0)).count() == 0
 
 
+def test_lists_over_several_tasks_and_walks(spark, monkeypatch):
+    from graphloom.llm import ann
+
+    monkeypatch.setattr(ann, "BLOCK", 64)  # every list is dealt over several tasks
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1200, 8))
+    got = defaultdict(set)
+    for r in ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    score = x @ x.T
+    np.fill_diagonal(score, -np.inf)
+    hit = [len(got[q] & set(np.argsort(-score[q])[:20].tolist())) for q in range(0, 1200, 20)]
+    assert sum(hit) >= 0.9 * 20 * 60
+
+    lists = ann.Lists(x, float((x * x).sum(1).max()), 20_000)
+    v = lists.lifted(x[:50])
+    row, at, d = lists.near(v, np.inf)
+    assert len(row) == 50 * len(lists.centroids) and np.allclose(d, ann.squared(v, lists.centroids)[row, at], atol=1e-3)
+    _, homes = lists.homes(lists.lifted(x))
+    assert np.bincount(homes).max() < 4 * len(homes) / len(lists.centroids)
+    plan = ann.parts_of(ann.side_by_side(lists.centroids), np.bincount(homes, minlength=len(lists.centroids)), 6)
+    assert sorted(p[0] for p in plan) == list(range(len(lists.centroids))) and len({p[2] for p in plan}) > 3
+
+
 CONTROL = ["</s>", "[INST] x [/INST]", r"\</s>", r"a\\<|turn|>b", "<|end|>\n<|turn|>user\n", "plain", "", None, "\\", "\n\n", "<<SYS>>é"]
 
 
