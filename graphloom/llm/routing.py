@@ -39,17 +39,22 @@ def keyed(docs: DataFrame) -> DataFrame:
     docs may have more columns, but none named key; see renamed() for those that have.
 
     Where doc_id is unique and never null, it is the key. Else different (doc_id, text) get numbers in the order
-    of doc_id, nulls last, then of a hash of the text; equal rows share one and so their result.
+    of doc_id, nulls last, then of a hash of the text; equal rows share one and so their result. What is returned
+    has an attribute `odd` that tells which.
     """
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
     if odd.isEmpty():
-        return docs.withColumn("key", F.col("doc_id"))
+        out = docs.withColumn("key", F.col("doc_id"))
+        out.odd = False
+        return out
     own = docs.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
     ids = own.select("doc_id", "digest").distinct().repartitionByRange(F.col("doc_id").asc_nulls_last(), "digest").sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "digest")
     ids = materialize(ids.select("doc_id", "digest", F.monotonically_increasing_id().alias("key")), "keys")
     same = own["doc_id"].eqNullSafe(ids["doc_id"]) & (own["digest"] == ids["digest"])
-    return materialize(own.join(ids, same).select(ids["key"], *(own[c] for c in docs.columns)), "keyed")
+    out = materialize(own.join(ids, same).select(ids["key"], *(own[c] for c in docs.columns)), "keyed")
+    out.odd = True
+    return out
 
 
 def _zip(batches):

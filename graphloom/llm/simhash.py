@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
 from itertools import combinations
 from math import comb
 
@@ -12,10 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm.common import U, mix, utf8
-from graphloom.llm.routing import unzipped, zipped
+from graphloom.llm.common import BASE, BYTE, U, WORD_BASE, mix, pieces, prefix, span, utf8, words
+from graphloom.llm.routing import keyed, renamed, unzipped, zipped
 from graphloom.operators.components import components
-from graphloom.session import discard, materialize
+from graphloom.session import discard, materialize, scratch
 
 BITS = 64
 #: Numbers of partitions that are weighed against each other, up to radius + 1.
@@ -269,18 +270,17 @@ def buckets(nodes: DataFrame, radius: int) -> DataFrame:
 
 
 def near_groups(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) for (doc_id, fp): the smallest doc_id that links of at most radius bits reach.
+    """(fp, component_id) of (doc_id, fp): the smallest doc_id that links of at most radius bits reach from a fingerprint.
 
     Only different fingerprints are compared, each with its smallest doc_id. Rows whose doc_id is null link
-    nothing and have a null component_id. Repeated rows are linked as equal fingerprints are.
+    nothing. Repeated rows are linked as equal fingerprints are.
     """
     nodes = materialize(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")).select("fp", "rep", F.lit(0).cast("long").alias("weight"), F.lit(0).cast("long").alias("band")), "nodes")
     rows = buckets(nodes, radius)
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = rows.select("sig", "fp", "rep").repartition(parts, "sig").sortWithinPartitions("sig").mapInArrow(lambda it: _linked(it, radius), "a long, b long")
     found = components(links)
-    roots = nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(roots, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
 
 
 def near_dedup(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
@@ -289,128 +289,139 @@ def near_dedup(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
     Null and empty texts have the fingerprint zero, linked like any other; a text of fewer words than size is one
     shingle; other columns are ignored; an empty table gives no rows.
     """
-    prints = materialize(fingerprints(docs, size), "fingerprints")
-    return near_groups(prints, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    with scratch(docs.sparkSession) as scope:
+        prints = materialize(fingerprints(docs, size), "fingerprints")
+        roots = scope.keep(materialize(near_groups(prints, radius), "roots"), prints)
+    groups = prints.join(roots, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near copies by similarity: fingerprints propose, shingle sets decide.
+# Near copies by similarity: fingerprints propose most links, prefixes of shingle sets the rest, and the sets decide.
 
-#: Partners in a large bucket that are all compared at once. Of a text with more, as many nearest ones over all buckets
-#: are in the first round, and WIDER times as many in each that follows.
-FEW, WIDER = 4, 3
-#: Rounds of nearest partners go on while one of so many texts that have more partners got a link; the exact candidates
-#: of different groups are then compared.
-WORTH = 8
+#: Nearest partners of smaller doc_id that a text proposes in each bucket of fingerprints.
+FEW = 4
 #: Texts, about, whose shingles are counted to tell common ones, and how often a common one occurs there at least.
 SAMPLE, COMMON = 10_000, 4
 #: Common shingles at most that are sent to all tasks.
 MOST_COMMON = 1 << 16
-#: Rows of a bucket up to which every pair in it is verified.
-SMALL = 48
+#: Texts with one shingle in their prefixes beyond which these are dealt out again by a second shingle.
+HOT = 2048
 #: Different texts are compared where their counts of shingles are within a factor of 4, or close to it.
 BAND = 4.0
+#: Candidate pairs that are held at once, and rows of bits.
+HELD = 1 << 20
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def all_shingles(data: np.ndarray, offs: np.ndarray, *sizes: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each size the hash and the row of every shingle, repeats included, rows ascending; fewer words are one shingle."""
+    low = LOWER[data]
+    start, end, row = words(low, offs)
+    sums = prefix(span(prefix(BYTE[low], BASE), start, end, BASE), WORD_BASE)
+    first = np.searchsorted(row, np.arange(len(offs)))
+    last, at, out = first[row + 1], np.arange(len(row)), []
+    for size in sizes:
+        head = at[(at + size <= last) | (at == first[row])]
+        out.append((span(sums, head, np.minimum(head + size, last[head]), WORD_BASE), row[head]))
+    return out
 
 
-def _profile(batches, size, print_size):
-    from hashlib import sha256
-
-    for batch in batches:
-        flat, offs = utf8(batch.column("text"))
-        whole, out = memoryview(flat), []
-        for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()):
-            text = bytes(whole[a:b])
-            out.append((sha256(text).digest()[:16], fingerprint(shingle_hashes(text, print_size)), len(np.unique(shingle_hashes(text, size)))))
-        fp = np.array([x[1] for x in out], U).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in out], pa.binary()), pa.array(fp), pa.array([x[2] for x in out], pa.int64())], ["doc_id", "digest", "fp", "weight"])
-
-
-def _proposed(batches, radius, similarity, wanted):
-    """(a, b, gap): pairs of different labels within radius, b the smaller, of sizes that allow the similarity.
+def as_sets(hashes: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's different hashes in ascending order, one row after another, and the offsets of the n rows."""
+    order = np.lexsort((hashes, row))
+    hashes, row = hashes[order], row[order]
+    new = np.append(True, (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1]))[: len(row)]
+    return hashes[new], np.searchsorted(row[new], np.arange(n + 1))
 
-    A pair is proposed under the first of its common signatures alone. Small buckets propose all their pairs, with
-    gap -1. So does a row of a large bucket that has FEW partners there; with more, it
-    proposes the nearest with their distance, and it and the others come as (a, a, 0), to be heard again.
-    """
-    mask = np.array(wanted, U)
-    number = {m: i for i, m in enumerate(wanted)}
 
-    def fit(got, i, j):
-        w, v = got["weight"][i], got["weight"][j]
-        return (np.minimum(w, v) >= similarity * np.maximum(w, v)) & (got["label"][i] != got["label"][j])
+def all_fingerprints(hashes: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Fingerprint of each of n rows from the hashes of its shingles."""
+    total, count = np.zeros((n, BITS), np.int64), np.bincount(row, minlength=n)
+    for k in range(0, len(row), 1 << 16):
+        r = row[k : k + (1 << 16)]
+        heads = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+        bits = np.unpackbits(hashes[k : k + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        total[r[heads]] += np.add.reduceat(bits, heads, axis=0, dtype=np.int64)
+    return np.packbits(2 * total > count[:, None], axis=1).view(">u8").ravel().astype(U)
 
-    def own_bucket(x, which):
-        out = np.zeros(len(x), bool)
-        for k in range(0, len(x), 1 << 15):
-            out[k : k + (1 << 15)] = ((x[k : k + (1 << 15), None] & mask) == 0).argmax(1) == which[k : k + (1 << 15)]
-        return out
 
-    for got in by_signature(batches, ("sig", "used", "fp", "rep", "weight", "label")):
-        sig, fp, rep = got["sig"], got["fp"].view(U), got["rep"]
+def _profile(batches, size, print_size):
+    for batch in batches:
+        for a, b, data, offs in pieces(batch.column("text")):
+            (own, row), (small, small_row) = all_shingles(data, offs, size, print_size)
+            sets, ends = as_sets(own, row, b - a)
+            flat, at = memoryview(sets.view(np.uint8)), ends.tolist()
+            alike = [sha256(flat[8 * x : 8 * y]).digest()[:16] for x, y in zip(at, at[1:])]
+            fp = all_fingerprints(small, small_row, b - a).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(alike, pa.binary()), pa.array(fp), pa.array(np.diff(ends))], ["doc_id", "alike", "fp", "weight"])
+
+
+def _proposed(batches, radius, similarity):
+    """(a, b, gap): of each row in each bucket, the FEW nearest rows of smaller rep within radius, of sizes that allow the similarity."""
+    for got in by_signature(batches, ("sig", "fp", "rep", "weight")):
+        fp, rep, weight = got["fp"].view(U), got["rep"], got["weight"]
+        order = np.lexsort((rep, got["sig"]))
+        sig = got["sig"][order]
         head = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
         size = np.diff(np.append(head, len(sig)))
-        which = np.repeat([number[int(m)] for m in got["used"].view(U)[head]], size)
-        left, right, gaps = [], [], []
-        rows, end, step = np.flatnonzero(np.repeat((size > 1) & (size <= SMALL), size)), np.repeat(head + size, size), 1
+        fp, rep, weight = fp[order], rep[order], weight[order]
+        out = []
+        # small buckets side by side, one distance in their order at a time
+        rows, end, step = np.flatnonzero(np.repeat((size > 1) & (size <= 64), size)), np.repeat(head + size, size), 1
         while len(rows := rows[rows + step < end[rows]]):
-            x = fp[rows] ^ fp[rows + step]
-            near = np.flatnonzero((np.bitwise_count(x) <= radius) & fit(got, rows, rows + step))
-            near = near[own_bucket(x[near], which[rows[near]])]
-            left.append(rows[near])
-            right.append(rows[near] + step)
-            gaps.append(np.full(len(near), -1))
+            out.append((rows + step, rows))
             step += 1
-        for h, s in zip(head[size > SMALL].tolist(), size[size > SMALL].tolist()):
-            own = np.arange(h, h + s)
-            for k in range(0, s, 256):
-                i = own[k : k + 256]
-                x = fp[i, None] ^ fp[None, own]
-                gap = np.bitwise_count(x)
-                a, b = np.nonzero((gap <= radius) & (rep[None, own] < rep[i, None]) & fit(got, i[:, None], own[None, :]))
-                ok = own_bucket(x[a, b], np.full(len(a), which[h]))
-                a, b = a[ok], b[ok]
-                order = np.lexsort((rep[own[b]], gap[a, b], a))
-                a, b = a[order], b[order]
-                nearest = np.ones(len(a), bool)
-                nearest[1:] = a[1:] != a[:-1]
-                few = np.bincount(a, minlength=len(i))[a] <= FEW
-                told = few | nearest
-                left.append(i[a[told]])
-                right.append(own[b[told]])
-                gaps.append(np.where(few, -1, gap[a, b].astype(np.int64))[told])
-                again = np.unique(np.concatenate([i[a[~told]], own[b[~told]]]))
-                left.append(again)
-                right.append(again)
-                gaps.append(np.zeros(len(again), np.int64))
-        a, b, g = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right, gaps))
-        a, b = np.maximum(rep[a], rep[b]), np.minimum(rep[a], rep[b])
-        if len(a):
-            rows = np.unique(np.stack([a, b, g], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, k].copy()) for k in range(3)], ["a", "b", "gap"])
+        if out:
+            yield _nearest(*(np.concatenate(x) for x in zip(*out)), fp, rep, weight, radius, similarity)
+        for h, s in zip(head[size > 64].tolist(), size[size > 64].tolist()):
+            for k in range(h, h + s, step := max(1, HELD // s)):
+                i, j = np.meshgrid(np.arange(k, min(k + step, h + s)), np.arange(h, min(k + step, h + s)), indexing="ij")
+                yield _nearest(i[j < i], j[j < i], fp, rep, weight, radius, similarity)
+
+
+def _nearest(i, j, fp, rep, weight, radius, similarity):
+    gap = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64)
+    ok = (gap <= radius) & (np.minimum(weight[i], weight[j]) >= similarity * np.maximum(weight[i], weight[j])) & (rep[i] != rep[j])
+    i, j, gap = i[ok], j[ok], gap[ok]
+    order = np.lexsort((rep[j], gap, i))
+    i, j, gap = i[order], j[order], gap[order]
+    head = np.flatnonzero(np.append(True, i[1:] != i[:-1]))[: len(i)]
+    near = np.arange(len(i)) - np.repeat(head, np.diff(np.append(head, len(i)))) < FEW
+    return pa.RecordBatch.from_arrays([pa.array(x[near]) for x in (rep[i], rep[j], gap)], ["a", "b", "gap"])
+
+
+def _unzipped(b: pa.RecordBatch):
+    """Runs of rows of compressed texts as pieces() has them."""
+    texts = pa.array(list(unzipped(b.column("z"))), pa.large_binary())
+    return pieces(texts)
 
 
 def _sets(batches, size):
     for b in batches:
-        sets = [np.unique((shingle_hashes(t, size) >> U(32)).astype(np.uint32)).tobytes() for t in unzipped(b.column("z"))]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+        for x, y, data, offs in _unzipped(b):
+            ((own, row),) = all_shingles(data, offs, size)
+            sets, ends = as_sets(own, row, y - x)
+            flat, ends = memoryview(sets.view(np.uint8)), ends.tolist()
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(x, y - x), pa.array([bytes(flat[8 * p : 8 * q]) for p, q in zip(ends, ends[1:])], pa.binary())], ["doc_id", "shingles"])
 
 
 def _counted(batches, size):
     for b in batches:
-        if not b.num_rows:
-            continue
-        flat, offs = utf8(b.column("text"))
-        whole = memoryview(flat)
-        sets = [np.unique(shingle_hashes(bytes(whole[x:y]), size)) for x, y in zip(offs[:-1].tolist(), offs[1:].tolist())]
-        token, n = np.unique(np.concatenate(sets), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], ["sig", "n"])
+        for x, y, data, offs in pieces(b.column("text")):
+            ((own, row),) = all_shingles(data, offs, size)
+            token, n = np.unique(as_sets(own, row, y - x)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], ["sig", "n"])
+
 
+def common_shingles(docs: DataFrame, rows: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts of a sample have, in ascending order, and their counts there.
 
-def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many texts of a sample have, in ascending order, and their counts there."""
-    every = max(1, docs.count() // SAMPLE)
-    some = docs.where("doc_id is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
-    rows = some.mapInArrow(lambda it: _counted(it, size), "sig long, n long").groupBy("sig").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
-    got = sorted((r["sig"] % 2**64, r["n"]) for r in rows.orderBy(F.desc("n"), "sig").limit(MOST_COMMON).collect())
+    They only set the order of the prefixes: any order finds the same pairs, this one in smaller buckets.
+    """
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, rows // SAMPLE))) == 0)
+    counts = some.mapInArrow(lambda it: _counted(it, size), "sig long, n long").groupBy("sig").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    got = sorted((r["sig"] % 2**64, r["n"]) for r in counts.orderBy(F.desc("n"), "sig").limit(MOST_COMMON).collect())
     return np.array([x[0] for x in got], U), np.array([x[1] for x in got], np.int64)
 
 
@@ -420,21 +431,24 @@ def prefix_length(n, similarity: float):
 
 
 def _prefixes(batches, size, similarity, token, count):
-    """(sig, rep, label, weight, place): the front of each text's set, rare shingles first, then by hash."""
+    """(sig, rep, label, weight, place, front): the front of each text's set and one shingle more, rare ones first, then by hash."""
     for b in batches:
-        out = []
-        for rep, label, t in zip(b.column("doc_id").to_pylist(), b.column("label").to_pylist(), unzipped(b.column("z"))):
-            own = np.unique(shingle_hashes(t, size))
-            if not len(own):
-                continue
+        rep, label = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "label"))
+        for x, y, data, offs in _unzipped(b):
+            ((own, row),) = all_shingles(data, offs, size)
+            own, ends = as_sets(own, row, y - x)
+            weight = np.diff(ends)
+            row = np.repeat(np.arange(y - x), weight)
+            often = np.zeros(len(own), np.int64)
             if len(token):
                 at = np.minimum(np.searchsorted(token, own), len(token) - 1)
-                own = own[np.argsort(np.where(token[at] == own, count[at], 0), kind="stable")]
-            n = len(own)
-            front = own[: int(prefix_length(np.int64(n), similarity))]
-            out.append((front.view(np.int64), *(np.full(len(front), x, np.int64) for x in (rep, label, n)), np.arange(len(front))))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["sig", "rep", "label", "weight", "place"])
+                often = np.where(token[at] == own, count[at], 0)
+            own = own[np.lexsort((own, often, row))]
+            place, most = np.arange(len(own)) - ends[row], prefix_length(weight, similarity)[row]
+            some = place <= most
+            row = row[some]
+            cols = (own[some].view(np.int64), rep[x + row], label[x + row], weight[row], place[some])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array((place < most)[some])], ["sig", "rep", "label", "weight", "place", "front"])
 
 
 def _sharing(batches, similarity):
@@ -465,7 +479,7 @@ def _sharing(batches, similarity):
             left.append(rows[ok])
             right.append(other[ok])
             held += len(left[-1])
-            if held > 1 << 20:
+            if held > HELD:
                 yield pairs(rep, left, right)
                 left, right, held = [], [], 0
             step += 1
@@ -476,90 +490,112 @@ def _sharing(batches, similarity):
 def _similar(batches, similarity):
     for b in batches:
         keep = []
-        for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist()):
-            u, v = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+        for x, y in zip(b.column("sa"), b.column("sb")):
+            u, v = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
             both = len(np.intersect1d(u, v, True))
             keep.append(both >= similarity * (len(u) + len(v) - both) - 1e-9)
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, print_size: int = 3, radius: int = 11) -> DataFrame:
-    """(doc_id, digest, first): each row's text digest and the smallest doc_id of its group of near copies.
+def sharing_pairs(fronts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): every pair of different labels whose prefixes meet and whose sizes and places allow the similarity.
 
-    Links join equal texts, and different ones whose sets of shingles of size words, hashed to 32 bits, have a Jaccard
-    similarity of at least `similarity`. Pairs within radius of the fingerprints over print_size words are proposed first;
-    their sets, from the whole texts, decide. In a large bucket a text with many partners is compared with its nearest
-    ones; while that joins groups, another round proposes more of those in other groups. That makes most links cheaply
-    and large groups whole. Then all pairs of different groups that may be similar are compared: sets put in one shared
-    order have a shingle of their prefixes in common if they are similar, so none is missed, whatever its fingerprints.
-    Rows with a null doc_id have a null first and no part in it. Empty texts are copies of each other alone.
+    A shingle in the prefixes of more than HOT texts of different labels is joined with a second one of each text's
+    prefix, one place longer: similar sets of two shingles or more have two in common there. So no task compares
+    all texts of a hot shingle; and sets of one shingle are only similar if equal, which makes them one text here.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = materialize(own.mapInArrow(lambda it: _profile(it, size, print_size), "doc_id long, digest binary, fp long, weight long"), "profiles")
-    level = lambda x: F.floor(F.log(BAND, x)).cast("long")
-    nodes = prints.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("weight").alias("weight"))
-    nodes = materialize(nodes.select("digest", "rep", "fp", "weight"), "texts")
-    single = nodes.where("weight > 0").select("rep", "fp", "weight", F.explode(F.array_distinct(F.array(level(F.col("weight")), level(F.col("weight") / similarity)))).alias("band"))
-    wanted = masks(allocate(*moments(single), radius))
-    texts = zipped(own.withColumn("key", F.col("doc_id"))).select("doc_id", "z")
+    parts = int(fronts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shape = ["sig", "rep", "label", "weight", "place"]
+    own = fronts.where("front").select(shape)
+    hot = own.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).where((F.col("n") > HOT) & (F.col("least") != F.col("most"))).select("sig")
+    hot = materialize(hot, "hot")
+    if not hot.isEmpty():
+        second = fronts.select(F.col("rep").alias("of"), F.col("sig").alias("other"), F.col("place").alias("at"))
+        twice = own.join(hot, "sig", "left_semi").join(second, F.col("rep") == F.col("of")).where("sig <> other")
+        twice = twice.select(F.xxhash64(F.least("sig", "other"), F.greatest("sig", "other")).alias("sig"), "rep", "label", "weight", F.least("place", "at").alias("place"))
+        own = own.join(hot, "sig", "left_anti").unionByName(twice)
+    return own.repartition(parts, "sig").sortWithinPartitions("sig", "weight").mapInArrow(lambda it: _sharing(it, similarity), "a long, b long").distinct()
+
+
+def near_copies(docs: DataFrame, **how) -> DataFrame:
+    """(doc_id, first): for each row the smallest doc_id of its group of near copies; see grouped() for groups and arguments.
+
+    Rows with a null doc_id have a null first and no part in any group. Rows of one doc_id and different texts are
+    different documents, ordered by a hash; equal rows are copies. Other columns are ignored; an empty table gives no rows.
+    """
+    own = keyed(docs.where("doc_id is not null").select("doc_id", "text"))
+    found = grouped(own.select(F.col("key").alias("doc_id"), "text"), **how)
+    if own.odd:
+        names = own.select("key", F.col("doc_id").alias("name")).distinct()
+        found = found.join(names, found["doc_id"] == names["key"]).select(F.col("name").alias("doc_id"), "first")
+        names = names.select(F.col("key").alias("key2"), F.col("name").alias("name2"))
+        found = found.join(names, found["first"] == names["key2"]).select("doc_id", F.col("name2").alias("first"))
+    return found.unionByName(docs.where("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("first")))
+
+
+def grouped(docs: DataFrame, size: int = 5, similarity: float = 0.8, print_size: int = 3, radius: int = 11) -> DataFrame:
+    """(doc_id, first) of docs (doc_id, text), an id never null and of one text: the smallest id of each row's group.
+
+    Links join texts whose sets of shingles of size words have a Jaccard similarity of at least `similarity`; sets are
+    those of the whole texts, as 64-bit hashes, and texts with equal sets are one from the start. Pairs within radius of
+    the fingerprints over print_size words are proposed by generalised pigeonhole, of each text the nearest ones in each
+    bucket, and their sets decide: that makes most links. Then all pairs of different groups that may be similar are
+    compared: sets put in one shared order have a shingle of their prefixes in common if they are similar, so none is
+    missed, whatever its fingerprints. Null and empty texts are copies of each other alone.
+    """
+    with scratch(docs.sparkSession) as scope:
+        return scope.keep(materialize(_grouped(docs, size, similarity, print_size, radius), "firsts"))
 
-    def shingled(ids):
-        some = texts.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        return materialize(some.mapInArrow(lambda it: _sets(it, size), "doc_id long, shingles binary"), "shingles")
 
-    def similar(pairs, sets):
+def _grouped(docs: DataFrame, size: int, similarity: float, print_size: int, radius: int) -> DataFrame:
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prints = materialize(docs.mapInArrow(lambda it: _profile(it, size, print_size), "doc_id long, alike binary, fp long, weight long"), "profiles")
+    level = lambda x: F.floor(F.log(BAND, x)).cast("long")
+    nodes = prints.groupBy("alike").agg(F.min(F.struct("doc_id", "fp", "weight")).alias("x"))
+    nodes = materialize(nodes.select("alike", F.col("x.doc_id").alias("rep"), "x.fp", "x.weight"), "texts")
+    single = nodes.where("weight > 0").select("rep", "fp", "weight")
+    banded = single.withColumn("band", F.explode(F.array_distinct(F.array(level(F.col("weight")), level(F.col("weight") / similarity)))))
+    texts = zipped(docs.withColumn("key", F.col("doc_id"))).select("doc_id", "z")
+
+    def similar(pairs):
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        some = texts.join(ends.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        sets = materialize(some.mapInArrow(lambda it: _sets(it, size), "doc_id long, shingles binary"), "shingles")
         both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-        return materialize(both.select("a", "b", "sa", "sb").mapInArrow(lambda it: _similar(it, similarity), "a long, b long"), "similar")
-
-    ends = F.explode(F.array("a", "b")).alias("doc_id")
-    labels, links, most, sets, rest = None, None, FEW, None, None
-    while True:
-        first = labels is None
-        heard = single if first else single.join(rest, single["rep"] == rest["a"], "left_semi")
-        signed = heard.mapInArrow(lambda it: _signed(it, wanted), "sig long, used long, fp long, rep long, weight long")
-        signed = signed.withColumn("label", F.col("rep")) if first else signed.join(labels, signed["rep"] == labels["node"], "left").select("sig", "used", "fp", "rep", "weight", F.coalesce("component", "rep").alias("label"))
-        told = signed.repartition(parts, "sig").sortWithinPartitions("sig").mapInArrow(lambda it: _proposed(it, radius, similarity, wanted), "a long, b long, gap long")
-        told = materialize(told, "proposed")
-        rest = told.where("a = b").select("a").distinct()
-        order = Window.partitionBy("a").orderBy("gap", "b")
-        few = told.where("a <> b and gap >= 0").groupBy("a", "b").agg(F.min("gap").alias("gap")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("a", "b")
-        near = materialize(told.where("gap < 0").select("a", "b").unionByName(few).distinct(), "near")
-        if first:
-            sets = shingled(near.select(ends).unionByName(rest.select(F.col("a").alias("doc_id"))).distinct())
-        found = similar(near, sets)
-        joined = found.count()
-        if first or joined:
-            links = found if first else links.unionByName(found)
-            old, labels = labels, materialize(components(links), "labels")
-            if old is not None:
-                discard(old)
-        left = rest.count()
-        if not left or WORTH * joined < left:
-            break
-        most *= WIDER
-    discard(sets)
-    token, count = common_shingles(own, size)
-    known = nodes.where("weight > 0").select("rep").distinct().join(labels, F.col("rep") == labels["node"], "left").select(F.col("rep").alias("doc_id"), F.coalesce("component", "rep").alias("label"))
-    fronts = texts.join(known.hint("shuffle_hash"), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(lambda it: _prefixes(it, size, similarity, token, count), "sig long, rep long, label long, weight long, place long")
-    shared = fronts.repartition(parts, "sig").sortWithinPartitions("sig", "weight").mapInArrow(lambda it: _sharing(it, similarity), "a long, b long").distinct()
-    shared = materialize(shared, "shared")
-    found = similar(shared, shingled(shared.select(ends).distinct()))
-    if not found.isEmpty():
-        labels = materialize(components(links.unionByName(found)), "labels")
-    firsts = nodes.join(labels, nodes["rep"] == labels["node"], "left").select("digest", F.coalesce("component", "rep").alias("first"))
-    return prints.join(firsts, "digest", "left").select("doc_id", "digest", F.when(F.col("doc_id").isNotNull(), F.col("first")).alias("first"))
+        found = materialize(both.select("a", "b", "sa", "sb").mapInArrow(lambda it: _similar(it, similarity), "a long, b long"), "similar")
+        discard(sets)
+        return found
+
+    rows = buckets(banded, radius)
+    told = rows.select("sig", "fp", "rep", "weight").repartition(parts, "sig").sortWithinPartitions("sig").mapInArrow(lambda it: _proposed(it, radius, similarity), "a long, b long, gap long")
+    order = Window.partitionBy("a").orderBy("gap", "b")
+    near = told.groupBy("a", "b").agg(F.min("gap").alias("gap")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= FEW).select("a", "b")
+    near = materialize(near, "near")
+    discard(rows)
+    links = similar(near)
+    labels = materialize(components(links), "labels")
+
+    token, count = common_shingles(docs, prints.count(), size)
+    known = single.join(labels, F.col("rep") == labels["node"], "left").select(F.col("rep").alias("doc_id"), F.coalesce("component", "rep").alias("label"))
+    fronts = texts.join(known.hint("shuffle_hash"), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(lambda it: _prefixes(it, size, similarity, token, count), "sig long, rep long, label long, weight long, place long, front boolean")
+    fronts = materialize(fronts, "fronts")
+    shared = materialize(sharing_pairs(fronts, similarity), "shared")
+    discard(fronts)
+    labels = materialize(components(links.unionByName(similar(shared))), "labels")
+    firsts = nodes.join(labels, nodes["rep"] == labels["node"], "left").select("alike", F.coalesce("component", "rep").alias("first"))
+    return prints.join(firsts, "alike", "left").select("doc_id", "first")
 
 
 def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
-    """One row of each group of near copies, that of the smallest doc_id; rows with a null doc_id stay. Columns stay."""
-    found = near_copies(docs, **how)
-    kept = found.where("doc_id = first").groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"), F.min("digest").alias("digest"))
-    kept = materialize(kept, "kept")
-    columns = docs.columns
-    key = F.col("doc_id").cast("long")
-    out = docs.join(kept.select(F.col("doc_id").alias("_kept")), key == F.col("_kept"), "left_semi").select(columns)
-    if not kept.where("copies > 1").isEmpty():  # one id in several rows: the row of the least digest stays, once
-        out = out.withColumn("_digest", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["doc_id", "_digest"]).withColumn("_r", F.row_number().over(Window.partitionBy("doc_id").orderBy("_digest"))).where("_r = 1").select(columns)
-    nameless = docs.where(F.col("doc_id").isNull())
-    return out.unionByName(nameless)
+    """One row of each group of near copies, that of the smallest doc_id; rows with a null doc_id stay. Columns stay, whatever their names.
+
+    Of equal (doc_id, text) in several rows, that of the least hash over all columns stays.
+    """
+    plain, names = renamed(docs)
+    own = keyed(plain.where("doc_id is not null"))
+    found = grouped(own.select(F.col("key").alias("doc_id"), "text"), **how)
+    out = own.join(found.where("doc_id = first").select(F.col("doc_id").alias("id")), F.col("key") == F.col("id"), "left_semi")
+    if own.odd:
+        plainly = [c for c, kind in plain.dtypes if c in names and "map<" not in kind and "variant" not in kind]
+        out = out.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(*plainly)))).where("place = 1")
+    return out.select(names).unionByName(plain.where("doc_id is null").select(names)).toDF(*docs.columns)
