@@ -5,11 +5,14 @@ alone picks, so equal windows anywhere have equal anchors. A segment is the run
 occurrence. Segments travel as packed arrays, a bucket of anchor hashes at a time:
 
 1. every scan task packs its segments by bucket; of equal segments in its own rows it sends the first alone;
-2. each bucket settles equal segments by their hashes and asks for the content of unequal ones that share an anchor;
+2. each bucket asks for the content of segments that share an anchor, or settles equal ones by their hashes;
 3. the content goes to the bucket of its anchor, where the operator compares windows exactly;
 4. marked window runs come back to their texts.
 
-No step gathers more in a task than one bucket, and of equal segments a bucket gets one from each scan task.
+There are as many buckets as the input has BUCKET bytes, so a task's share doesn't grow with the input. Of equal
+segments a bucket gets one from each scan task. An anchor that stands in very many different segments (a passage with
+many surroundings) is known from a sample of the texts; its windows are routed each by its own content, so that they
+spread over all buckets. Which anchors are treated so doesn't change the result.
 """
 
 from __future__ import annotations
@@ -23,10 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import U, mix
-from graphloom.session import materialize
+from graphloom.session import materialize, scratch
 
 #: Segments that a scan task holds before it sends them.
 HELD = 500_000
+#: Bytes of text whose segments one bucket holds, about.
+BUCKET = 32 << 20
+#: Bytes of text, about, that hot anchors are looked for in; an anchor is hot if it is estimated to stand in more than
+#: HOT different segments and was seen in SEEN of the sample at least.
+SAMPLED, HOT, SEEN = 16 << 20, 50_000, 8
 MARK, ASK = 1, 2
 FIELDS = (("h", "<u4"), ("s", "<u8"), ("key", None), ("start", None), ("n", "<u1"))
 PLACES = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary())])
@@ -98,30 +106,47 @@ def unpacked(data: bytes) -> tuple[dict[str, np.ndarray], memoryview]:
     return {k: v.astype(np.int64) if k != "s" else v for k, v in out.items()}, memoryview(data)[at:]
 
 
-def firsts(rows: dict[str, np.ndarray], by_text: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows stay and which are marked, of rows whose segments are equal.
+def firsts(rows: dict[str, np.ndarray], by_text: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which rows stay and which are marked, of rows whose segments are equal by hash, and the first row of each marked one's equals.
 
     The row of the smallest (key, start) stays and the rest are marked. by_text: all rows of the smallest key
     stay, since windows that repeat within one text don't count.
     """
     n = len(rows["s"])
-    stays, marked = np.ones(n, bool), np.zeros(n, bool)
+    stays, marked, head_of = np.ones(n, bool), np.zeros(n, bool), np.arange(n)
     order = np.argsort(rows["s"])
     s = rows["s"][order]
     same = np.zeros(n + 1, bool)
     same[1:n] = s[1:] == s[:-1]
     among = order[same[:-1] | same[1:]]
     if len(among):
-        among = among[np.lexsort((rows["start"][among], rows["key"][among], rows["s"][among]))]
-        s, key, start = rows["s"][among], rows["key"][among], rows["start"][among]
-        head = np.append(True, s[1:] != s[:-1])
+        among = among[np.lexsort((rows["start"][among], rows["key"][among], rows["h"][among], rows["s"][among]))]
+        s, h, key, start = (rows[c][among] for c in ("s", "h", "key", "start"))
+        head = np.append(True, (s[1:] != s[:-1]) | (h[1:] != h[:-1]))
         group = np.cumsum(head) - 1
         least, first = key[head][group], start[head][group]
         again = ~head & (key == least) & (start == first)  # an equal row of the input, read as one text
         later = key > least if by_text else ~head & ~again
         marked[among[later]], stays[among[later]] = True, False
         stays[among[again]] = False
-    return stays, marked
+        head_of[among] = among[head][group]
+    return stays, marked, head_of
+
+
+def same_bytes(flat: np.ndarray, a: np.ndarray, b: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Whether the runs of width bytes at a and at b are equal."""
+    out = np.ones(len(a), bool)
+    ends = np.cumsum(width)
+    k = 0
+    while k < len(a):
+        z = max(k + 1, int(np.searchsorted(ends, ends[k] - width[k] + (1 << 20), "right")))
+        w = width[k:z]
+        first = np.cumsum(w) - w
+        step = np.arange(int(w.sum())) - np.repeat(first, w)
+        equal = flat[np.repeat(a[k:z], w) + step] == flat[np.repeat(b[k:z], w) + step]
+        out[k:z] = np.logical_and.reduceat(equal, first) if len(first) else True
+        k = z
+    return out
 
 
 def merged(key: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,14 +181,25 @@ def _by_bucket(rows: dict[str, np.ndarray], buckets: int, kind: int) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(out), kind, np.int32)), pa.array(bucket[heads].astype(np.int32)), pa.array(out, pa.binary())], schema=PLACES)
 
 
-def scan(batches, segments: Callable, buckets: int, by_text: bool):
-    """Step 1. Rows of kind 0 hold segments, rows of kind MARK hold runs that are settled here."""
+def scan(batches, segments: Callable, buckets: int, by_text: bool, hot: np.ndarray):
+    """Step 1. Rows of kind 0 hold segments, rows of kind MARK hold runs that are settled here.
+
+    segments(batch, hot) yields rows, and the bytes that they stand in with their places there and widths, or None;
+    with bytes, equality is seen in them.
+    """
     held, count = [], 0
 
     def send():
-        rows = {k: np.concatenate([x[k] for x in held]) for k, _ in FIELDS}
+        rows = {k: np.concatenate([x[k] for x, _ in held]) for k, _ in FIELDS}
+        stays, marked, head_of = firsts(rows, by_text)
+        if held[0][1] is not None and marked.any():
+            flat = np.concatenate([c[0] for _, c in held])
+            base = np.cumsum([0, *(len(c[0]) for _, c in held)])
+            at, width = np.concatenate([c[1] + x for (_, c), x in zip(held, base)]), np.concatenate([c[2] for _, c in held])
+            some = np.flatnonzero(marked)
+            other = some[~same_bytes(flat, at[some], at[head_of[some]], width[some])]
+            stays[other], marked[other] = True, False
         held.clear()
-        stays, marked = firsts(rows, by_text)
         if stays.any():
             yield _by_bucket({k: v[stays] for k, v in rows.items()}, buckets, 0)
         if marked.any():
@@ -172,9 +208,9 @@ def scan(batches, segments: Callable, buckets: int, by_text: bool):
             yield pa.RecordBatch.from_arrays([pa.array([MARK], pa.int32()), pa.array([int(key[0]) % buckets], pa.int32()), pa.array([data], pa.binary())], schema=PLACES)
 
     for batch in batches:
-        for rows in segments(batch):
+        for rows, where in segments(batch, hot):
             if len(rows["h"]):
-                held.append(rows)
+                held.append((rows, where))
                 count += len(rows["h"])
             if count >= HELD:
                 yield from send()
@@ -183,6 +219,46 @@ def scan(batches, segments: Callable, buckets: int, by_text: bool):
         yield from send()
 
 
+def _anchors(batches, segments: Callable):
+    """Different segments of a task's rows by anchor."""
+    for batch in batches:
+        for rows, _ in segments(batch, np.zeros(0, np.int64)):
+            if len(rows["h"]):
+                order = np.lexsort((rows["s"], rows["h"]))
+                h, s = rows["h"][order], rows["s"][order]
+                new = np.append(True, (h[1:] != h[:-1]) | (s[1:] != s[:-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(s[new].view(np.int64))], ["h", "s"])
+
+
+def hot_anchors(docs: DataFrame, segments: Callable, size: int) -> np.ndarray:
+    """Anchors that stand in very many different segments, in ascending order; no more than the sample has room for."""
+    every = max(1, size // SAMPLED)
+    some = docs.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).select("key", "text")
+    counts = some.mapInArrow(lambda it: _anchors(it, segments), "h long, s long").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    return np.array(sorted(r["h"] for r in counts.where(F.col("n") > max(SEEN, HOT // every)).select("h").collect()), np.int64)
+
+
+def spread(rows: dict[str, np.ndarray], hot: np.ndarray, window: Callable, where=None, index: int = 0):
+    """rows with the segments of hot anchors cut into their windows, each a segment of its own; window(segment, step) hashes one."""
+    if not len(hot) or not len(rows["h"]):
+        return rows, where
+    at = np.minimum(np.searchsorted(hot, rows["h"]), len(hot) - 1)
+    own = np.flatnonzero(hot[at] == rows["h"])
+    if not len(own):
+        return rows, where
+    n = (rows["n"][own] & 127).astype(np.int64)
+    of = np.repeat(own, n)
+    step = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    s = window(of, step)
+    cut = {"h": (s >> U(32)).astype(np.int64), "s": s, "key": rows["key"][of], "start": rows["start"][of] + step, "n": np.full(len(of), 1 | index << 7, np.int64)}
+    rest = np.ones(len(rows["h"]), bool)
+    rest[own] = False
+    if where is not None:
+        flat, place, width = where
+        where = flat, np.concatenate([place[rest], place[of] + step]), np.concatenate([width[rest], np.repeat(width[own] - n + 1, n)])
+    return {k: np.concatenate([rows[k][rest], cut[k]]) for k, _ in FIELDS}, where
+
+
 def gathered(batches, kinds: tuple[int, ...] = (0,)):
     """Per bucket, of rows that come sorted by bucket: its packed data; data of other kinds one by one."""
     bucket, data = None, []
@@ -201,7 +277,7 @@ def gathered(batches, kinds: tuple[int, ...] = (0,)):
 
 
 def settle(batches, by_text: bool):
-    """Step 2."""
+    """Step 2. by_text: equal segments are settled by their hashes. Else the bytes of all that share an anchor are asked for."""
     for kind, data in gathered(batches):
         if kind == MARK:
             yield _marks(*np.frombuffer(data[0], "<i8").reshape(3, -1))
@@ -210,23 +286,23 @@ def settle(batches, by_text: bool):
         rows = {k: np.concatenate([p[k] for p in parts]) for k, _ in FIELDS}
         del parts
         index, rows["n"] = rows["n"] >> 7 > 0, rows["n"] & 127
-        stays, marked = firsts(rows, by_text)
-        if marked.any():
-            yield _marks(*merged(rows["key"][marked], rows["start"][marked], rows["n"][marked]))
-        rows, index = {k: v[stays] for k, v in rows.items()}, index[stays]
+        if by_text:
+            stays, marked, _ = firsts(rows, by_text)
+            if marked.any():
+                yield _marks(*merged(rows["key"][marked], rows["start"][marked], rows["n"][marked]))
+            rows, index = {k: v[stays] for k, v in rows.items()}, index[stays]
         order = np.argsort(rows["h"], kind="stable")
         h, s, key, index = rows["h"][order], rows["s"][order], rows["key"][order], index[order]
         head = np.append(True, h[1:] != h[:-1])
         at = np.flatnonzero(head)
         group = np.cumsum(head) - 1
-        many = np.minimum.reduceat(s, at) != np.maximum.reduceat(s, at)
-        far = np.int64(2**63 - 1)
-        first_index = np.minimum.reduceat(np.where(index, key, far), at)
-        last_key = np.maximum.reduceat(key, at)
         if by_text:  # a probe needs an indexed block of a smaller text, a block a probe of a larger one
+            many = np.minimum.reduceat(s, at) != np.maximum.reduceat(s, at)
+            first_index = np.minimum.reduceat(np.where(index, key, np.int64(2**63 - 1)), at)
+            last_key = np.maximum.reduceat(key, at)
             ask = many[group] & ((first_index[group] < key) | (index & (key < last_key[group])))
         else:
-            ask = many[group]
+            ask = (np.diff(np.append(at, len(h))) > 1)[group]
         ask = order[ask]
         if len(ask):
             yield _marks(rows["key"][ask], rows["start"][ask], rows["n"][ask], ASK, rows["h"][ask])
@@ -283,15 +359,18 @@ def compared(batches, compare: Callable):
 def repeats(docs: DataFrame, segments: Callable, content: Callable, compare: Callable, by_text: bool) -> DataFrame:
     """(key, start, n): runs of n windows from start that also occur earlier. docs: keyed()."""
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    routed = docs.select("key", "text").mapInArrow(lambda it: scan(it, segments, buckets, by_text), "kind int, bucket int, data binary")
-    settled = routed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: settle(it, by_text), MARKS)
-    settled = materialize(settled, "settled")
-    asked = settled.where(F.col("kind") == ASK).groupBy("key").agg(F.collect_list(F.struct("h", "start", "n")).alias("asked"))
-    texts = zipped(docs).select("key", "z").join(asked.hint("shuffle_hash"), "key")
-    fetched = texts.mapInArrow(lambda it: fetch(it, content, buckets), "kind int, bucket int, data binary")
-    found = fetched.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: compared(it, compare), MARKS)
-    return materialize(settled.where(F.col("kind") == MARK).unionByName(found).select("key", "start", "n"), "repeats")
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
+    hot = hot_anchors(docs, segments, size)
+    with scratch(spark) as scope:
+        routed = docs.select("key", "text").mapInArrow(lambda it: scan(it, segments, buckets, by_text, hot), "kind int, bucket int, data binary")
+        settled = routed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: settle(it, by_text), MARKS)
+        settled = materialize(settled, "settled")
+        asked = settled.where(F.col("kind") == ASK).groupBy("key").agg(F.collect_list(F.struct("h", "start", "n")).alias("asked"))
+        texts = zipped(docs).select("key", "z").join(asked.hint("shuffle_hash"), "key")
+        fetched = texts.mapInArrow(lambda it: fetch(it, content, buckets), "kind int, bucket int, data binary")
+        found = fetched.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: compared(it, compare), MARKS)
+        return scope.keep(materialize(settled.where(F.col("kind") == MARK).unionByName(found).select("key", "start", "n"), "repeats"))
 
 
 def with_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:

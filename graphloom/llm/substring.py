@@ -25,7 +25,7 @@ def hashed(data: np.ndarray, offs: np.ndarray):
     return row, np.searchsorted(row, np.arange(len(offs))), sums
 
 
-def segments(batch):
+def segments(batch, hot):
     """Windows by anchor. Texts are cut into blocks of BLOCK words that don't overlap; these are the index.
 
     Every window holds ROW blocks in a row with their keys. Of those, the leftmost whose hash is least is the
@@ -64,7 +64,8 @@ def segments(batch):
         h = span(sums, anchor, anchor + KEY, WORD_BASE)
         # equal segments must have equal anchors in them, so the anchor's place is part of what is hashed
         s = span(sums, start, stop + WINDOW, WORD_BASE) ^ h ^ ((anchor - start).astype(U) << U(56))
-        yield {"h": (h >> U(32)).astype(np.int64), "s": s, "key": keys[own], "start": start - first[own], "n": count | (index.astype(np.int64) << 7)}
+        rows = {"h": (h >> U(32)).astype(np.int64), "s": s, "key": keys[own], "start": start - first[own], "n": count | (index.astype(np.int64) << 7)}
+        yield routing.spread(rows, hot, lambda of, step: span(sums, start[of] + step, start[of] + step + WINDOW, WORD_BASE), index=1)
 
 
 def content(text: bytes, start: np.ndarray, n: np.ndarray) -> list[bytes]:

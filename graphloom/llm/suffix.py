@@ -21,20 +21,23 @@ SLICE = 1 << 20
 INDEXED = 1 << 18
 
 
-def segments(batch):
-    """Runs of byte windows with a common anchor: the leftmost least substring of GRAM bytes in each window."""
+def segments(batch, hot):
+    """Runs of byte windows with a common anchor: the leftmost least substring of GRAM bytes in each window.
+
+    With each run the bytes, its place there and its width. Windows of hot anchors are runs of their own.
+    """
     for a, b, data, offs in pieces(batch.column("text")):
         keys = batch.column("key").slice(a, b - a).to_numpy(zero_copy_only=False)
         if len(data) <= SLICE:
-            yield _segments(data, offs, keys, 0)
+            yield _segments(data, offs, keys, 0, hot)
         else:  # a single long text, in slices that overlap by a window less a byte
             for at in range(0, len(data), SLICE):
                 part = data[at : at + SLICE + LENGTH - 1]
-                yield _segments(part, np.array([0, len(part)]), keys, at)
+                yield _segments(part, np.array([0, len(part)]), keys, at, hot)
 
 
-def _segments(data, offs, keys, base):
-    empty = {k: np.zeros(0, np.int64) for k, _ in routing.FIELDS}
+def _segments(data, offs, keys, base, hot):
+    empty = {k: np.zeros(0, np.int64) for k, _ in routing.FIELDS}, (data[:0], np.zeros(0, np.int64), np.zeros(0, np.int64))
     width, count = LENGTH - GRAM + 1, len(data) - LENGTH + 1
     if count <= 0:
         return empty
@@ -57,7 +60,8 @@ def _segments(data, offs, keys, base):
     head = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])))
     n = np.diff(np.append(head, len(start)))
     first, row = start[head], row[head]
-    return {"h": (grams[anchor[head]] >> U(32)).astype(np.int64), "s": span(sums, first, first + n + LENGTH - 1, BASE), "key": keys[row], "start": first - offs[row] + base, "n": n}
+    rows = {"h": (grams[anchor[head]] >> U(32)).astype(np.int64), "s": span(sums, first, first + n + LENGTH - 1, BASE), "key": keys[row], "start": first - offs[row] + base, "n": n}
+    return routing.spread(rows, hot, lambda of, step: span(sums, first[of] + step, first[of] + step + LENGTH, BASE), (data, first, n + LENGTH - 1))
 
 
 def content(text: bytes, start: np.ndarray, n: np.ndarray) -> list[bytes]:
@@ -69,8 +73,8 @@ class RunLengthIndex:
 
     Suffixes stand by their first LENGTH bytes, then by place in the text, so that the strings of one interval
     stand from first to last. Kept are the runs of equal preceding bytes, with the counts that give a rank within
-    them, the bounds of intervals one byte short of LENGTH, and a text position sampled at the head of each
-    interval of a repeated string.
+    them and the text position at each run's front end, and the bounds of intervals one byte short of LENGTH. A run
+    also ends where the interval of a repeated string begins; so its first place is the position at a run's end.
     """
 
     def __init__(self, parts: list[bytes]):
@@ -112,11 +116,13 @@ class RunLengthIndex:
         starts = np.flatnonzero(group)
         many = np.diff(np.append(starts, total)) > 1
         heads = starts[many & full[starts]]
-        self.sample_at, self.sample = heads, order[heads]
         shorter = (rank << 32 | ahead(rank, LENGTH - 1 - known))[order]
         self.bounds = np.append(np.flatnonzero(np.append(True, shorter[1:] != shorter[:-1])), total)
         before = np.where(np.isin(order, self.heads), 0, code[order - 1])
-        run = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
+        ends = np.append(True, before[1:] != before[:-1])
+        ends[heads] = True
+        run = np.flatnonzero(ends)
+        self.sample_at, self.sample = run, order[run]
         length = np.diff(np.append(run, total))
         by_code = np.lexsort((run, before[run]))
         run, length, kind = run[by_code], length[by_code], before[run][by_code]
@@ -178,45 +184,56 @@ def anchors(flat: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+def settled(flat: np.ndarray, rows: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """rows without those whose bytes equal an earlier row's, and the places of those."""
+    stays, marked, head_of = routing.firsts(rows, False)
+    some = np.flatnonzero(marked)
+    if len(some):
+        other = some[~routing.same_bytes(flat, rows["at"][some], rows["at"][head_of[some]], rows["n"][some] + LENGTH - 1)]
+        stays[other], marked[other] = True, False
+    return {k: v[stays] for k, v in rows.items()}, marked
+
+
 def narrowed(flat: np.ndarray, rows: dict[str, np.ndarray]) -> Iterator[tuple]:
-    """Segments (at, m, n, key, start) that may still share windows, after longer anchors; settled runs on the way.
+    """Segments (at, m, n, key, start) that may still share windows, after longer anchors; byte-equal ones merged on the way.
 
     A window holds more than its anchor: half of what is left of its LENGTH lies right of the anchor, or else left
     of it. By which, a segment is cut in two with an anchor longer by that half. Parts whose longer anchor is no
-    other's are done with, equal parts are settled, and so on with what is left. Yields ("marks", ...) and last
-    ("rest", rows).
+    other's are done with, of equal parts the first goes on. Yields ("marks", ...) and last ("rest", rows).
     """
     sums = prefix(BYTE[flat], BASE)
     have = GRAM
-    while LENGTH - have >= 8:
+    while True:
+        rows["s"] = span(sums, rows["at"], rows["at"] + rows["n"] + LENGTH - 1, BASE) ^ mix(rows["m"].astype(U))
+        left, marked = settled(flat, rows)
+        if marked.any():
+            yield "marks", (rows["key"][marked], rows["start"][marked], rows["n"][marked])
+        core = left["at"] + left["m"]
+        many, _ = repeated(span(sums, core, core + have, BASE))
+        rows = {k: v[many] for k, v in left.items()}
+        if LENGTH - have < 8:
+            break
         half = (LENGTH - have) // 2
         at, m, n, start = rows["at"], rows["m"], rows["n"], rows["start"]
         first = np.maximum(0, m - (LENGTH - have - half))
         right, left = first < n, first > 0
-        parts = {
+        rows = {
             "at": np.concatenate([(at + first)[right], at[left]]),
             "m": np.concatenate([(m - first)[right], (m - half)[left]]),
             "n": np.concatenate([(n - first)[right], np.minimum(n, first)[left]]),
             "key": np.concatenate([rows["key"][right], rows["key"][left]]),
             "start": np.concatenate([(start + first)[right], start[left]]),
+            "h": np.concatenate([rows["h"][right], rows["h"][left]]),
         }
         have += half
-        for again in (False, True):
-            core = parts["at"] + parts["m"]
-            many, _ = repeated(span(sums, core, core + have, BASE))
-            parts = {k: v[many] for k, v in parts.items()}
-            if not again:
-                parts["s"] = span(sums, parts["at"], parts["at"] + parts["n"] + LENGTH - 1, BASE) ^ mix(parts["m"].astype(U))
-                stays, marked = routing.firsts(parts, False)
-                if marked.any():
-                    yield "marks", (parts["key"][marked], parts["start"][marked], parts["n"][marked])
-                parts = {k: v[stays] for k, v in parts.items()}
-        rows = parts
+        core = rows["at"] + rows["m"]
+        many, _ = repeated(span(sums, core, core + have, BASE))
+        rows = {k: v[many] for k, v in rows.items()}
     yield "rest", rows | {"have": have}
 
 
 def compare(rows, blobs):
-    """Repeated windows among segments with a common anchor; what longer anchors leave goes through the index."""
+    """Repeated windows among segments with a common anchor: byte-equal ones, and what the index tells of the rest."""
     order = np.lexsort((rows["start"], rows["key"], rows["h"]))
     h = rows["h"][order]
     size = np.array([len(blobs[i]) for i in order], np.int64)
@@ -230,7 +247,7 @@ def compare(rows, blobs):
         own = order[heads[a] : ends[b - 1]]
         flat = np.frombuffer(b"".join(blobs[i] for i in own), np.uint8)
         at = upto[heads[a] : ends[b - 1]] - size[heads[a] : ends[b - 1]] - begin
-        part = {"at": at, "n": rows["n"][own], "key": rows["key"][own], "start": rows["start"][own]}
+        part = {"at": at, "n": rows["n"][own], "key": rows["key"][own], "start": rows["start"][own], "h": rows["h"][own]}
         part["m"] = anchors(flat, at, part["n"])
         for what, got in narrowed(flat, part):
             if what == "marks":

@@ -376,6 +376,23 @@ def test_suffixes(spark, docs, empty, corpus):
     assert sorted((str(r["doc_id"]), r["n_removed"]) for r in again) == sorted([("0", 0), ("0", 0), ("None", len(corpus[0][1].encode()))])
 
 
+@pytest.mark.parametrize("hot", [50_000, 2])
+def test_repetitive_texts_over_several_tasks(spark, monkeypatch, hot):
+    from graphloom.llm import routing, substring, suffix
+
+    monkeypatch.setattr(routing, "HOT", hot)  # 2: most anchors are hot, and their windows are routed one by one
+    monkeypatch.setattr(routing, "SEEN", 1)
+    monkeypatch.setattr(routing, "HELD", 40)
+    passage = prose(5, 110)
+    rows = [(i, f"{prose(100 + i, 20 + i)} {passage[i % 7:]} {prose(200 + i, 30)} {passage if i % 3 == 0 else ''}") for i in range(40)]
+    rows += [(100 + i, rows[i][1]) for i in range(0, 40, 5)] + [(200, "ab" * 300), (201, "ab" * 200), (202, "w " * 120), (203, "w " * 200)]
+    df = table(spark, rows).repartition(5)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.dedup_digests(df).collect()}
+    assert got == bytes_left(rows)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.dedup_digests(df).collect()}
+    assert got == words_left(rows)
+
+
 def test_long_texts_are_read_in_slices(spark, monkeypatch):
     from graphloom.llm import suffix
 
@@ -383,10 +400,11 @@ def test_long_texts_are_read_in_slices(spark, monkeypatch):
     import pyarrow as pa
 
     long = prose(3, 3000)
-    rows = list(suffix.segments(pa.RecordBatch.from_arrays([pa.array([1]), pa.array([long])], ["key", "text"])))
+    none = np.zeros(0, np.int64)
+    rows = list(suffix.segments(pa.RecordBatch.from_arrays([pa.array([1]), pa.array([long])], ["key", "text"]), none))
     n = len(long.encode()) - 99
     seen = np.zeros(n, int)
-    for r in rows:
+    for r, _ in rows:
         for s, k in zip(r["start"], r["n"]):
             seen[s : s + k] += 1
     assert (seen == 1).all()
