@@ -3,22 +3,20 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from graphloom.llm import routing
-from graphloom.llm.common import BASE, BYTE, U, mix, pieces, prefix, repeated, rows_of, span
+from graphloom.llm.common import BASE, BYTE, U, pieces, prefix, repeated, rows_of, span
 
 #: Length of a match in bytes, and of the substrings that anchor it.
-LENGTH, GRAM = 100, 36
+LENGTH, GRAM = 100, 48
 #: Bits of a position within a slice; the rest of an order key is the anchor's hash.
 PLACE = 24
 SLICE = 1 << 20
 #: Bytes that one index is built over, or one group of segments with a common anchor.
-INDEXED = 1 << 18
+INDEXED = 1 << 20
 
 
 def segments(batch, hot):
@@ -166,74 +164,12 @@ class RunLengthIndex:
         return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
 
-def anchors(flat: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Offset of the anchor in each segment: the leftmost least of its substrings of GRAM bytes."""
-    out = np.zeros(len(at), np.int64)
-    a = 0
-    while a < len(at):
-        b = max(a + 1, int(np.searchsorted(at, at[a] + SLICE, "right")) - 1)
-        lo, hi = at[a], at[b - 1] + n[b - 1] + LENGTH - 1
-        sums = prefix(BYTE[flat[lo:hi]], BASE)
-        places = np.arange(hi - lo - GRAM + 1)
-        order = (span(sums, places, places + GRAM, BASE) & ~U((1 << PLACE) - 1)) | places.astype(U)
-        begin = at[a:b] - lo
-        cuts = np.stack([begin, begin + n[a:b] + LENGTH - GRAM], 1).ravel()
-        least = np.minimum.reduceat(np.append(order, ~U(0)), cuts)[::2]
-        out[a:b] = (least & U((1 << PLACE) - 1)).astype(np.int64) - begin
-        a = b
-    return out
-
-
-def settled(flat: np.ndarray, rows: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """rows without those whose bytes equal an earlier row's, and the places of those."""
-    stays, marked, head_of = routing.firsts(rows, False)
-    some = np.flatnonzero(marked)
-    if len(some):
-        other = some[~routing.same_bytes(flat, rows["at"][some], rows["at"][head_of[some]], rows["n"][some] + LENGTH - 1)]
-        stays[other], marked[other] = True, False
-    return {k: v[stays] for k, v in rows.items()}, marked
-
-
-def narrowed(flat: np.ndarray, rows: dict[str, np.ndarray]) -> Iterator[tuple]:
-    """Segments (at, m, n, key, start) that may still share windows, after longer anchors; byte-equal ones merged on the way.
+def compare(rows, blobs):
+    """Repeated windows among segments with a common anchor: byte-equal segments are merged, and an index tells of the rest.
 
-    A window holds more than its anchor: half of what is left of its LENGTH lies right of the anchor, or else left
-    of it. By which, a segment is cut in two with an anchor longer by that half. Parts whose longer anchor is no
-    other's are done with, of equal parts the first goes on. Yields ("marks", ...) and last ("rest", rows).
+    An index is built over the different segments of some whole groups of one anchor at a time, and all of them are
+    streamed through it; what it finds in the first of equal segments holds for all, which are marked already.
     """
-    sums = prefix(BYTE[flat], BASE)
-    have = GRAM
-    while True:
-        rows["s"] = span(sums, rows["at"], rows["at"] + rows["n"] + LENGTH - 1, BASE) ^ mix(rows["m"].astype(U))
-        left, marked = settled(flat, rows)
-        if marked.any():
-            yield "marks", (rows["key"][marked], rows["start"][marked], rows["n"][marked])
-        core = left["at"] + left["m"]
-        many, _ = repeated(span(sums, core, core + have, BASE))
-        rows = {k: v[many] for k, v in left.items()}
-        if LENGTH - have < 8:
-            break
-        half = (LENGTH - have) // 2
-        at, m, n, start = rows["at"], rows["m"], rows["n"], rows["start"]
-        first = np.maximum(0, m - (LENGTH - have - half))
-        right, left = first < n, first > 0
-        rows = {
-            "at": np.concatenate([(at + first)[right], at[left]]),
-            "m": np.concatenate([(m - first)[right], (m - half)[left]]),
-            "n": np.concatenate([(n - first)[right], np.minimum(n, first)[left]]),
-            "key": np.concatenate([rows["key"][right], rows["key"][left]]),
-            "start": np.concatenate([(start + first)[right], start[left]]),
-            "h": np.concatenate([rows["h"][right], rows["h"][left]]),
-        }
-        have += half
-        core = rows["at"] + rows["m"]
-        many, _ = repeated(span(sums, core, core + have, BASE))
-        rows = {k: v[many] for k, v in rows.items()}
-    yield "rest", rows | {"have": have}
-
-
-def compare(rows, blobs):
-    """Repeated windows among segments with a common anchor: byte-equal ones, and what the index tells of the rest."""
     order = np.lexsort((rows["start"], rows["key"], rows["h"]))
     h = rows["h"][order]
     size = np.array([len(blobs[i]) for i in order], np.int64)
@@ -243,44 +179,41 @@ def compare(rows, blobs):
     a = 0
     while a < len(heads):  # whole groups of one anchor
         begin = upto[heads[a]] - size[heads[a]]
-        b = max(a + 1, int(np.searchsorted(upto[ends - 1], begin + SLICE, "right")))
+        b = max(a + 1, int(np.searchsorted(upto[ends - 1], begin + INDEXED, "right")))
         own = order[heads[a] : ends[b - 1]]
         flat = np.frombuffer(b"".join(blobs[i] for i in own), np.uint8)
-        at = upto[heads[a] : ends[b - 1]] - size[heads[a] : ends[b - 1]] - begin
-        part = {"at": at, "n": rows["n"][own], "key": rows["key"][own], "start": rows["start"][own], "h": rows["h"][own]}
-        part["m"] = anchors(flat, at, part["n"])
-        for what, got in narrowed(flat, part):
-            if what == "marks":
-                yield got
-            else:
-                yield from _indexed(flat, got)
+        width = size[heads[a] : ends[b - 1]]
+        at = upto[heads[a] : ends[b - 1]] - width - begin
+        part = {"at": at, "s": span(prefix(BYTE[flat], BASE), at, at + width, BASE), "h": rows["h"][own], "key": rows["key"][own], "start": rows["start"][own], "n": rows["n"][own]}
+        left, marked = merged_equals(flat, part)
+        if marked.any():
+            yield part["key"][marked], part["start"][marked], part["n"][marked]
+        yield from _indexed(flat, left)
         a = b
 
 
+def merged_equals(flat: np.ndarray, rows: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """rows without those whose bytes equal an earlier row's, and the places of those."""
+    stays, marked, head_of = routing.firsts(rows, False)
+    some = np.flatnonzero(marked)
+    if len(some):
+        other = some[~routing.same_bytes(flat, rows["at"][some], rows["at"][head_of[some]], rows["n"][some] + LENGTH - 1)]
+        stays[other], marked[other] = True, False
+    return {k: v[stays] for k, v in rows.items()}, marked
+
+
 def _indexed(flat, rows):
-    """Matching statistics over what is left, an index for some groups of equal anchors at a time."""
-    core = rows["at"] + rows["m"]
-    if not len(core):
+    """Matching statistics of segments that share their anchor with another, in the order of their texts."""
+    many, _ = repeated(rows["h"])
+    rows = {k: v[many] for k, v in rows.items()}
+    if not many.any():
         return
-    sums = prefix(BYTE[flat], BASE)
-    anchor = span(sums, core, core + rows["have"], BASE)
-    order = np.argsort(anchor, kind="stable")
-    anchor = anchor[order]
-    heads = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
-    ends = np.append(heads[1:], len(anchor))
-    size = np.cumsum((rows["n"] + LENGTH - 1)[order])
+    order = np.lexsort((rows["start"], rows["key"]))
+    rows = {k: v[order] for k, v in rows.items()}
     whole = flat.tobytes()
-    a = 0
-    while a < len(heads):
-        begin = size[heads[a] - 1] if heads[a] else 0
-        b = max(a + 1, int(np.searchsorted(size[ends - 1], begin + INDEXED, "right")))
-        own = order[heads[a] : ends[b - 1]]
-        # several groups share an index; their order in its text must be that of the texts, over all groups
-        own = own[np.lexsort((rows["start"][own], rows["key"][own]))]
-        parts = [whole[x:y] for x, y in zip(rows["at"][own].tolist(), (rows["at"] + rows["n"] + LENGTH - 1)[own].tolist())]
-        part, offset = RunLengthIndex(parts).repeats()
-        yield rows["key"][own][part], rows["start"][own][part] + offset, np.ones(len(part), np.int64)
-        a = b
+    parts = [whole[x:y] for x, y in zip(rows["at"].tolist(), (rows["at"] + rows["n"] + LENGTH - 1).tolist())]
+    part, offset = RunLengthIndex(parts).repeats()
+    yield rows["key"][part], rows["start"][part] + offset, np.ones(len(part), np.int64)
 
 
 def removed(text: bytes, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
