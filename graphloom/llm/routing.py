@@ -364,12 +364,12 @@ def repeats(docs: DataFrame, segments: Callable, content: Callable, compare: Cal
     hot = hot_anchors(docs, segments, size)
     with scratch(spark) as scope:
         routed = docs.select("key", "text").mapInArrow(lambda it: scan(it, segments, buckets, by_text, hot), "kind int, bucket int, data binary")
-        settled = routed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: settle(it, by_text), MARKS)
+        settled = routed.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: settle(it, by_text), MARKS)
         settled = materialize(settled, "settled")
         asked = settled.where(F.col("kind") == ASK).groupBy("key").agg(F.collect_list(F.struct("h", "start", "n")).alias("asked"))
         texts = zipped(docs).select("key", "z").join(asked.hint("shuffle_hash"), "key")
         fetched = texts.mapInArrow(lambda it: fetch(it, content, buckets), "kind int, bucket int, data binary")
-        found = fetched.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: compared(it, compare), MARKS)
+        found = fetched.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: compared(it, compare), MARKS)
         return scope.keep(materialize(settled.where(F.col("kind") == MARK).unionByName(found).select("key", "start", "n"), "repeats"))
 
 

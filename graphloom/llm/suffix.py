@@ -164,10 +164,50 @@ class RunLengthIndex:
         return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
 
+def anchors(flat: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Offset of the anchor in each segment: the leftmost least of its substrings of GRAM bytes."""
+    out = np.zeros(len(at), np.int64)
+    a = 0
+    while a < len(at):
+        b = max(a + 1, int(np.searchsorted(at, at[a] + SLICE, "right")) - 1)
+        lo, hi = at[a], at[b - 1] + n[b - 1] + LENGTH - 1
+        sums = prefix(BYTE[flat[lo:hi]], BASE)
+        places = np.arange(hi - lo - GRAM + 1)
+        order = (span(sums, places, places + GRAM, BASE) & ~U((1 << PLACE) - 1)) | places.astype(U)
+        begin = at[a:b] - lo
+        cuts = np.stack([begin, begin + n[a:b] + LENGTH - GRAM], 1).ravel()
+        least = np.minimum.reduceat(np.append(order, ~U(0)), cuts)[::2]
+        out[a:b] = (least & U((1 << PLACE) - 1)).astype(np.int64) - begin
+        a = b
+    return out
+
+
+def halved(flat: np.ndarray, rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Parts of segments (at, h, key, start, n) that may share windows, by a longer anchor.
+
+    A window holds more than its anchor: half of what is left of its LENGTH lies right of the anchor, or else left
+    of it. By which, a segment is cut in two with an anchor longer by that half. Parts whose longer anchor is no
+    other's hold no repeat and are left out; nothing is decided on the others.
+    """
+    at, n, start = rows["at"], rows["n"], rows["start"]
+    m, half = anchors(flat, at, n), (LENGTH - GRAM) // 2
+    first = np.maximum(0, m - (LENGTH - GRAM - half))
+    right, left = first < n, first > 0
+    both = lambda a, b: np.concatenate([a[right], b[left]])
+    parts = {"at": both(at + first, at), "h": both(rows["h"], rows["h"]), "key": both(rows["key"], rows["key"]), "start": both(start + first, start), "n": both(n - first, np.minimum(n, first))}
+    core = both(at + m, at + m - half)
+    sums = prefix(BYTE[flat], BASE)
+    parts["anchor"] = span(sums, core, core + GRAM + half, BASE)
+    many, _ = repeated(parts["anchor"])
+    parts = {k: v[many] for k, v in parts.items()}
+    parts["s"] = span(sums, parts["at"], parts["at"] + parts["n"] + LENGTH - 1, BASE)
+    return parts
+
+
 def compare(rows, blobs):
-    """Repeated windows among segments with a common anchor: byte-equal segments are merged, and an index tells of the rest.
+    """Repeated windows among segments with a common anchor: byte-equal ones are merged, and an index tells of the rest.
 
-    An index is built over the different segments of some whole groups of one anchor at a time, and all of them are
+    An index is built over different segments of whole groups of one anchor at a time, and all of them are
     streamed through it; what it finds in the first of equal segments holds for all, which are marked already.
     """
     order = np.lexsort((rows["start"], rows["key"], rows["h"]))
@@ -179,41 +219,52 @@ def compare(rows, blobs):
     a = 0
     while a < len(heads):  # whole groups of one anchor
         begin = upto[heads[a]] - size[heads[a]]
-        b = max(a + 1, int(np.searchsorted(upto[ends - 1], begin + INDEXED, "right")))
+        b = max(a + 1, int(np.searchsorted(upto[ends - 1], begin + 4 * INDEXED, "right")))
         own = order[heads[a] : ends[b - 1]]
         flat = np.frombuffer(b"".join(blobs[i] for i in own), np.uint8)
         width = size[heads[a] : ends[b - 1]]
         at = upto[heads[a] : ends[b - 1]] - width - begin
         part = {"at": at, "s": span(prefix(BYTE[flat], BASE), at, at + width, BASE), "h": rows["h"][own], "key": rows["key"][own], "start": rows["start"][own], "n": rows["n"][own]}
-        left, marked = merged_equals(flat, part)
-        if marked.any():
-            yield part["key"][marked], part["start"][marked], part["n"][marked]
+        left, marks = merged_equals(flat, part)
+        yield marks
+        many, _ = repeated(left["h"])
+        left, marks = merged_equals(flat, halved(flat, {k: v[many] for k, v in left.items()}))
+        yield marks
         yield from _indexed(flat, left)
         a = b
 
 
-def merged_equals(flat: np.ndarray, rows: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """rows without those whose bytes equal an earlier row's, and the places of those."""
+def merged_equals(flat: np.ndarray, rows: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], tuple]:
+    """rows without those whose bytes equal an earlier row's, and (key, start, n) of those."""
     stays, marked, head_of = routing.firsts(rows, False)
     some = np.flatnonzero(marked)
     if len(some):
         other = some[~routing.same_bytes(flat, rows["at"][some], rows["at"][head_of[some]], rows["n"][some] + LENGTH - 1)]
         stays[other], marked[other] = True, False
-    return {k: v[stays] for k, v in rows.items()}, marked
+    return {k: v[stays] for k, v in rows.items()}, tuple(rows[k][marked] for k in ("key", "start", "n"))
 
 
 def _indexed(flat, rows):
-    """Matching statistics of segments that share their anchor with another, in the order of their texts."""
-    many, _ = repeated(rows["h"])
-    rows = {k: v[many] for k, v in rows.items()}
-    if not many.any():
-        return
-    order = np.lexsort((rows["start"], rows["key"]))
+    """Matching statistics of segments that share an anchor with another, an index for some groups of equal anchors at a time."""
+    many, _ = repeated(rows["anchor"])
+    order = np.flatnonzero(many)[np.argsort(rows["anchor"][many], kind="stable")]
     rows = {k: v[order] for k, v in rows.items()}
+    anchor = rows["anchor"]
+    heads = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))[: len(anchor)]
+    ends = np.append(heads[1:], len(anchor))
+    size = np.cumsum(rows["n"] + LENGTH - 1)
     whole = flat.tobytes()
-    parts = [whole[x:y] for x, y in zip(rows["at"].tolist(), (rows["at"] + rows["n"] + LENGTH - 1).tolist())]
-    part, offset = RunLengthIndex(parts).repeats()
-    yield rows["key"][part], rows["start"][part] + offset, np.ones(len(part), np.int64)
+    a = 0
+    while a < len(heads):
+        begin = size[heads[a] - 1] if heads[a] else 0
+        b = max(a + 1, int(np.searchsorted(size[ends - 1], begin + INDEXED, "right")))
+        own = np.arange(heads[a], ends[b - 1])
+        # several groups share an index; their order in its text must be that of the texts, over all groups
+        own = own[np.lexsort((rows["start"][own], rows["key"][own]))]
+        parts = [whole[x:y] for x, y in zip(rows["at"][own].tolist(), (rows["at"] + rows["n"] + LENGTH - 1)[own].tolist())]
+        part, offset = RunLengthIndex(parts).repeats()
+        yield rows["key"][own][part], rows["start"][own][part] + offset, np.ones(len(part), np.int64)
+        a = b
 
 
 def removed(text: bytes, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
