@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.llm.common import BASE, BYTE, U, WORD_BASE, mix, pieces, prefix, span, utf8, words
-from graphloom.llm.routing import keyed, renamed, unzipped, zipped
+from graphloom.llm.routing import keyed, renamed
 from graphloom.operators.components import components
 from graphloom.session import discard, materialize, scratch
 
@@ -299,7 +299,7 @@ def near_dedup(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
 # Near copies by similarity: fingerprints propose most links, prefixes of shingle sets the rest, and the sets decide.
 
 #: Nearest partners of smaller doc_id that a text proposes in each bucket of fingerprints.
-FEW = 4
+FEW = 2
 #: Texts, about, whose shingles are counted to tell common ones, and how often a common one occurs there at least.
 SAMPLE, COMMON = 10_000, 4
 #: Common shingles at most that are sent to all tasks.
@@ -391,15 +391,9 @@ def _nearest(i, j, fp, rep, weight, radius, similarity):
     return pa.RecordBatch.from_arrays([pa.array(x[near]) for x in (rep[i], rep[j], gap)], ["a", "b", "gap"])
 
 
-def _unzipped(b: pa.RecordBatch):
-    """Runs of rows of compressed texts as pieces() has them."""
-    texts = pa.array(list(unzipped(b.column("z"))), pa.large_binary())
-    return pieces(texts)
-
-
 def _sets(batches, size):
     for b in batches:
-        for x, y, data, offs in _unzipped(b):
+        for x, y, data, offs in pieces(b.column("text")):
             ((own, row),) = all_shingles(data, offs, size)
             sets, ends = as_sets(own, row, y - x)
             flat, ends = memoryview(sets.view(np.uint8)), ends.tolist()
@@ -430,29 +424,72 @@ def prefix_length(n, similarity: float):
     return n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
 
 
+def parities(own: np.ndarray) -> bytes:
+    """A bit for each value of the low bits of a set's hashes: whether an odd number has it; four bits or more a hash.
+
+    Two sets' bits differ in no more places than the sets do in members, also after folding() to fewer bits.
+    """
+    size = 1 << max(8, (4 * len(own) - 1).bit_length())
+    return np.packbits((np.bincount((own & U(size - 1)).astype(np.int64), minlength=size) & 1).astype(bool)).tobytes()
+
+
+def folding(bits: np.ndarray, size: int) -> np.ndarray:
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def _possible(batches, similarity):
+    """(a, b): pairs whose sets may be similar, by their sizes and the places where their parities differ."""
+    for b in batches:
+        keep = []
+        for x, y, n, m in zip(b.column("pa"), b.column("pb"), b.column("wa").to_pylist(), b.column("wb").to_pylist()):
+            u, v = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+            size = min(len(u), len(v))
+            apart = int(np.bitwise_count(folding(u, size) ^ folding(v, size)).sum())
+            keep.append((n + m - apart) / 2 >= similarity / (1 + similarity) * (n + m) - 1e-9)
+        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _prefixes(batches, size, similarity, token, count):
-    """(sig, rep, label, weight, place, front): the front of each text's set and one shingle more, rare ones first, then by hash."""
+    """(rep, label, weight, parity, sigs): of each text's set the front and one shingle more, rare ones first, then by hash."""
     for b in batches:
-        rep, label = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "label"))
-        for x, y, data, offs in _unzipped(b):
+        for x, y, data, offs in pieces(b.column("text")):
             ((own, row),) = all_shingles(data, offs, size)
             own, ends = as_sets(own, row, y - x)
             weight = np.diff(ends)
+            parity = pa.array([parities(own[p:q]) for p, q in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
             row = np.repeat(np.arange(y - x), weight)
             often = np.zeros(len(own), np.int64)
             if len(token):
                 at = np.minimum(np.searchsorted(token, own), len(token) - 1)
                 often = np.where(token[at] == own, count[at], 0)
             own = own[np.lexsort((own, often, row))]
-            place, most = np.arange(len(own)) - ends[row], prefix_length(weight, similarity)[row]
-            some = place <= most
-            row = row[some]
-            cols = (own[some].view(np.int64), rep[x + row], label[x + row], weight[row], place[some])
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array((place < most)[some])], ["sig", "rep", "label", "weight", "place", "front"])
+            some = np.arange(len(own)) - ends[row] <= prefix_length(weight, similarity)[row]
+            bounds = np.searchsorted(row[some], np.arange(y - x + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(own[some].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(x, y - x), b.column("label").slice(x, y - x), pa.array(weight), parity, lists], ["rep", "label", "weight", "parity", "sigs"])
 
 
-def _sharing(batches, similarity):
-    """(a, b): pairs of different labels that may be similar, of prefixes sorted by shingle and size of set.
+def _twice(batches):
+    """(sig, rep, label, weight, place): each text under pairs of a hot shingle and any other of its prefix."""
+    for b in batches:
+        out = []
+        for rep, label, weight, sigs, hot in zip(*(b.column(c).to_pylist() for c in ("rep", "label", "weight", "sigs", "hot"))):
+            sigs = np.array(sigs, np.int64)
+            for x in np.flatnonzero(np.isin(sigs, hot)).tolist():
+                other = np.flatnonzero(np.arange(len(sigs)) != x)
+                low, high = np.minimum(sigs[other], sigs[x]).view(U), np.maximum(sigs[other], sigs[x]).view(U)
+                sig = mix(low ^ mix(high + U(BASE)))
+                out.append((sig.view(np.int64), *(np.full(len(other), v, np.int64) for v in (rep, label, weight)), np.minimum(other, x)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["sig", "rep", "label", "weight", "place"])
+
+
+def _sharing(batches, similarity, most=None):
+    """(a, b, again): pairs of different labels that may be similar, of prefixes sorted by shingle and size of set.
+
+    A shingle of more than `most` texts of different labels isn't paired; each of its texts comes as (rep, shingle, true).
 
     The first common shingle of two sets, in the shared order, leaves them no more in common than either has from there
     on; so a pair whose overlap would need more is left to its first common shingle, where it passes if it is similar.
@@ -461,7 +498,7 @@ def _sharing(batches, similarity):
     def pairs(rep, left, right):
         a, b = (np.concatenate(x) for x in (left, right))
         both = np.unique(np.stack([np.maximum(rep[a], rep[b]), np.minimum(rep[a], rep[b])], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, k].copy()) for k in range(2)], ["a", "b"])
+        return pa.RecordBatch.from_arrays([*(pa.array(both[:, k].copy()) for k in range(2)), pa.array(np.zeros(len(both), bool))], ["a", "b", "again"])
 
     for got in by_signature(batches, ("sig", "rep", "label", "weight", "place")):
         sig, rep, label, weight = (got[c] for c in ("sig", "rep", "label", "weight"))
@@ -469,6 +506,10 @@ def _sharing(batches, similarity):
         head = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
         size = np.diff(np.append(head, len(sig)))
         mixed = np.minimum.reduceat(label, head) != np.maximum.reduceat(label, head)
+        if most is not None and (mixed & (size > most)).any():
+            hot = np.repeat(mixed & (size > most), size)
+            yield pa.RecordBatch.from_arrays([pa.array(rep[hot]), pa.array(sig[hot]), pa.array(np.ones(hot.sum(), bool))], ["a", "b", "again"])
+            mixed &= size <= most
         rows, end, step = np.flatnonzero(np.repeat(mixed, size)), np.repeat(head + size, size), 1
         left, right, held = [], [], 0
         while len(rows := rows[rows + step < end[rows]]):
@@ -505,16 +546,19 @@ def sharing_pairs(fronts: DataFrame, similarity: float) -> DataFrame:
     all texts of a hot shingle; and sets of one shingle are only similar if equal, which makes them one text here.
     """
     parts = int(fronts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shape = ["sig", "rep", "label", "weight", "place"]
-    own = fronts.where("front").select(shape)
-    hot = own.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).where((F.col("n") > HOT) & (F.col("least") != F.col("most"))).select("sig")
-    hot = materialize(hot, "hot")
+
+    def dealt(rows, most):
+        return rows.repartition(parts, "sig").sortWithinPartitions("sig", "weight").mapInArrow(lambda it: _sharing(it, similarity, most), "a long, b long, again boolean")
+
+    front = F.col("weight") - F.ceil(F.col("weight") * F.lit(similarity) - 1e-9) + 1
+    own = fronts.select("rep", "label", "weight", F.posexplode(F.slice("sigs", F.lit(1), front.cast("int"))).alias("place", "sig"))
+    told = materialize(dealt(own.select("sig", "rep", "label", "weight", F.col("place").cast("long").alias("place")), HOT), "met")
+    pairs = told.where("not again").select("a", "b")
+    hot = materialize(told.where("again").groupBy("a").agg(F.collect_list("b").alias("hot")), "hot")  # a text's prefix at most
     if not hot.isEmpty():
-        second = fronts.select(F.col("rep").alias("of"), F.col("sig").alias("other"), F.col("place").alias("at"))
-        twice = own.join(hot, "sig", "left_semi").join(second, F.col("rep") == F.col("of")).where("sig <> other")
-        twice = twice.select(F.xxhash64(F.least("sig", "other"), F.greatest("sig", "other")).alias("sig"), "rep", "label", "weight", F.least("place", "at").alias("place"))
-        own = own.join(hot, "sig", "left_anti").unionByName(twice)
-    return own.repartition(parts, "sig").sortWithinPartitions("sig", "weight").mapInArrow(lambda it: _sharing(it, similarity), "a long, b long").distinct()
+        twice = fronts.join(hot, fronts["rep"] == hot["a"]).mapInArrow(_twice, "sig long, rep long, label long, weight long, place long")
+        pairs = pairs.unionByName(dealt(twice, None).select("a", "b"))
+    return pairs.distinct()
 
 
 def near_copies(docs: DataFrame, **how) -> DataFrame:
@@ -524,7 +568,7 @@ def near_copies(docs: DataFrame, **how) -> DataFrame:
     different documents, ordered by a hash; equal rows are copies. Other columns are ignored; an empty table gives no rows.
     """
     own = keyed(docs.where("doc_id is not null").select("doc_id", "text"))
-    found = grouped(own.select(F.col("key").alias("doc_id"), "text"), **how)
+    found = grouped(own.select(F.col("key").alias("doc_id"), "text"), repeated_ids=own.odd, **how)
     if own.odd:
         names = own.select("key", F.col("doc_id").alias("name")).distinct()
         found = found.join(names, found["doc_id"] == names["key"]).select(F.col("name").alias("doc_id"), "first")
@@ -533,7 +577,7 @@ def near_copies(docs: DataFrame, **how) -> DataFrame:
     return found.unionByName(docs.where("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("first")))
 
 
-def grouped(docs: DataFrame, size: int = 5, similarity: float = 0.8, print_size: int = 3, radius: int = 11) -> DataFrame:
+def grouped(docs: DataFrame, size: int = 5, similarity: float = 0.8, print_size: int = 3, radius: int = 7, repeated_ids: bool = True) -> DataFrame:
     """(doc_id, first) of docs (doc_id, text), an id never null and of one text: the smallest id of each row's group.
 
     Links join texts whose sets of shingles of size words have a Jaccard similarity of at least `similarity`; sets are
@@ -541,13 +585,14 @@ def grouped(docs: DataFrame, size: int = 5, similarity: float = 0.8, print_size:
     the fingerprints over print_size words are proposed by generalised pigeonhole, of each text the nearest ones in each
     bucket, and their sets decide: that makes most links. Then all pairs of different groups that may be similar are
     compared: sets put in one shared order have a shingle of their prefixes in common if they are similar, so none is
-    missed, whatever its fingerprints. Null and empty texts are copies of each other alone.
+    missed, whatever its fingerprints; pairs that differ in too many members, by a lower bound, aren't. Null and empty texts are copies of each other alone. repeated_ids: whether an id
+    may stand in several rows, of one text.
     """
     with scratch(docs.sparkSession) as scope:
-        return scope.keep(materialize(_grouped(docs, size, similarity, print_size, radius), "firsts"))
+        return scope.keep(materialize(_grouped(docs, size, similarity, print_size, radius, repeated_ids), "firsts"))
 
 
-def _grouped(docs: DataFrame, size: int, similarity: float, print_size: int, radius: int) -> DataFrame:
+def _grouped(docs: DataFrame, size: int, similarity: float, print_size: int, radius: int, repeated_ids: bool) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     prints = materialize(docs.mapInArrow(lambda it: _profile(it, size, print_size), "doc_id long, alike binary, fp long, weight long"), "profiles")
     level = lambda x: F.floor(F.log(BAND, x)).cast("long")
@@ -555,12 +600,11 @@ def _grouped(docs: DataFrame, size: int, similarity: float, print_size: int, rad
     nodes = materialize(nodes.select("alike", F.col("x.doc_id").alias("rep"), "x.fp", "x.weight"), "texts")
     single = nodes.where("weight > 0").select("rep", "fp", "weight")
     banded = single.withColumn("band", F.explode(F.array_distinct(F.array(level(F.col("weight")), level(F.col("weight") / similarity)))))
-    texts = zipped(docs.withColumn("key", F.col("doc_id"))).select("doc_id", "z")
+    texts = docs.dropDuplicates(["doc_id"]) if repeated_ids else docs
 
     def similar(pairs):
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        some = texts.join(ends.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        sets = materialize(some.mapInArrow(lambda it: _sets(it, size), "doc_id long, shingles binary"), "shingles")
+        ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")  # of known size, so that Spark may choose the join
+        sets = materialize(texts.join(ends, "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, size), "doc_id long, shingles binary"), "shingles")
         both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
         found = materialize(both.select("a", "b", "sa", "sb").mapInArrow(lambda it: _similar(it, similarity), "a long, b long"), "similar")
         discard(sets)
@@ -577,9 +621,13 @@ def _grouped(docs: DataFrame, size: int, similarity: float, print_size: int, rad
 
     token, count = common_shingles(docs, prints.count(), size)
     known = single.join(labels, F.col("rep") == labels["node"], "left").select(F.col("rep").alias("doc_id"), F.coalesce("component", "rep").alias("label"))
-    fronts = texts.join(known.hint("shuffle_hash"), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(lambda it: _prefixes(it, size, similarity, token, count), "sig long, rep long, label long, weight long, place long, front boolean")
+    known = materialize(known, "known")
+    fronts = texts.join(known, "doc_id").mapInArrow(lambda it: _prefixes(it, size, similarity, token, count), "rep long, label long, weight long, parity binary, sigs array<long>")
     fronts = materialize(fronts, "fronts")
-    shared = materialize(sharing_pairs(fronts, similarity), "shared")
+    shared = sharing_pairs(fronts, similarity)
+    for side, p, w in (("a", "pa", "wa"), ("b", "pb", "wb")):
+        shared = shared.join(fronts.select(F.col("rep").alias(side), F.col("parity").alias(p), F.col("weight").alias(w)), side)
+    shared = materialize(shared.select("a", "b", "pa", "pb", "wa", "wb").mapInArrow(lambda it: _possible(it, similarity), "a long, b long"), "shared")
     discard(fronts)
     labels = materialize(components(links.unionByName(similar(shared))), "labels")
     firsts = nodes.join(labels, nodes["rep"] == labels["node"], "left").select("alike", F.coalesce("component", "rep").alias("first"))
@@ -593,7 +641,7 @@ def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
     """
     plain, names = renamed(docs)
     own = keyed(plain.where("doc_id is not null"))
-    found = grouped(own.select(F.col("key").alias("doc_id"), "text"), **how)
+    found = grouped(own.select(F.col("key").alias("doc_id"), "text"), repeated_ids=own.odd, **how)
     out = own.join(found.where("doc_id = first").select(F.col("doc_id").alias("id")), F.col("key") == F.col("id"), "left_semi")
     if own.odd:
         plainly = [c for c, kind in plain.dtypes if c in names and "map<" not in kind and "variant" not in kind]

@@ -187,17 +187,29 @@ def test_prefixes_of_similar_sets_meet():
     from graphloom.llm.simhash import _prefixes, _sharing
 
     import pyarrow as pa
-    import zstandard
 
     rows = [*crowd(20), *blocks(20), (1, "a b"), (2, "A  b"), (3, "")]
-    b = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([i for i, _ in rows]), pa.array([zstandard.compress(t.encode()) for _, t in rows])], ["doc_id", "label", "z"])
+    ids = pa.array([i for i, _ in rows])
     none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    got = pa.Table.from_batches(_prefixes([b], 5, 0.8, *none)).sort_by([("sig", "ascending"), ("weight", "ascending")]).combine_chunks()
-    got = got.filter(got.column("front"))
+    fronts = pa.Table.from_batches(_prefixes([pa.RecordBatch.from_arrays([ids, ids, pa.array([t for _, t in rows])], ["doc_id", "label", "text"])], 5, 0.8, *none)).to_pylist()
+    front = [(s, r["rep"], r["label"], r["weight"], k) for r in fronts for k, s in enumerate(r["sigs"]) if k < r["weight"] - np.ceil(0.8 * r["weight"] - 1e-9) + 1]
+    got = pa.table(dict(zip(("sig", "rep", "label", "weight", "place"), map(list, zip(*sorted(front, key=lambda x: (x[0], x[3])))))))
     pairs = {(x["a"], x["b"]) for found in _sharing(got.to_batches(), 0.8) for x in found.to_pylist()}
     assert pairs >= {(1020 + i, 1000 + i) for i in range(20)} | {(3020 + i, 3000 + i) for i in range(20)} | {(2, 1)}
 
 
+def test_parities_never_differ_more_than_sets():
+    from graphloom.llm.simhash import folding, parities
+
+    rng = np.random.default_rng(3)
+    for n, m, both in ((1, 1, 1), (300, 290, 260), (1000, 90, 50), (5, 4000, 5)):
+        x = rng.integers(0, 2**64, both, np.uint64)
+        u, v = (np.frombuffer(parities(np.concatenate([x, rng.integers(0, 2**64, k - both, np.uint64)])), np.uint8) for k in (n, m))
+        size = min(len(u), len(v))
+        apart = np.bitwise_count(folding(u, size) ^ folding(v, size)).sum()
+        assert apart <= n + m - 2 * both and (apart + n + m) % 2 == 0
+
+
 def test_hot_shingles_and_crowded_signatures_are_split_without_loss(spark, monkeypatch):
     from graphloom.llm import simhash
 
