@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphloom.functions.ranking import global_index
 from graphloom.operators.components import components
 from graphloom.session import materialize, ship_package
 
@@ -39,11 +42,14 @@ def _near(batches, k, least):
             cos = np.round(u @ v.T, 9)
             order = np.argsort(b[0], kind="stable")
             ids, cos = b[0][order], cos[:, order]
-            for i in range(len(a[0])):
-                j = np.argsort(-cos[i], kind="stable")[:k] if k else np.flatnonzero(cos[i] >= least)
-                j = j[cos[i][j] >= least]
-                if len(j):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), a[0][i])), pa.array(ids[j]), pa.array(cos[i][j])], ["src", "dst", "cos"])
+            if k:
+                j = np.argsort(-cos, axis=1, kind="stable")[:, :k]
+                i, j = np.repeat(np.arange(len(j)), j.shape[1]), j.ravel()
+                some = cos[i, j] >= least
+                i, j = i[some], j[some]
+            else:
+                i, j = np.nonzero(cos >= least)
+            yield pa.RecordBatch.from_arrays([pa.array(a[0][i]), pa.array(ids[j]), pa.array(cos[i, j])], ["src", "dst", "cos"])
 
 
 def cosines(src: DataFrame, dst: DataFrame, k: int | None = None, least: float = -2.0) -> DataFrame:
@@ -59,16 +65,21 @@ def cosines(src: DataFrame, dst: DataFrame, k: int | None = None, least: float =
     return found.withColumn("_r", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("cos"), "dst"))).where(F.col("_r") <= k).drop("_r")
 
 
-def predict_links(src: DataFrame, dst: DataFrame, known: DataFrame, k: int = 100, threshold: float = 0.5, exclude_self: bool = False, by_score: bool = False) -> DataFrame:
+def predict_links(src: DataFrame, dst: DataFrame, known: DataFrame | Callable[[DataFrame], DataFrame], k: int = 100, threshold: float = 0.5, exclude_self: bool = False, by_score: bool = False) -> DataFrame:
     """New links (src, dst, score, rank): of each source its k nearest, without known (src, dst), of at least threshold, k in all.
 
     The k in all are taken in the order of sources, then rank, or by_score by score. Known links use up places
-    among a source's k nearest, as does the pair with itself unless exclude_self.
+    among a source's k nearest, as does the pair with itself unless exclude_self. known may be a function from
+    candidates (src, dst) to those of them that are known, where all known links would be too many.
     """
-    near = cosines(src, dst, None if exclude_self else k)
+    near = cosines(src, dst, k + 1 if exclude_self else k)
     if exclude_self:
         near = near.where("src <> dst").withColumn("_r", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("cos"), "dst"))).where(F.col("_r") <= k).drop("_r")
-    near = near.where(F.col("cos") >= threshold).join(known.select("src", "dst"), ["src", "dst"], "left_anti")
+    near = near.where(F.col("cos") >= threshold)
+    if callable(known):
+        near = materialize(near, "candidates")
+    have = known(near.select("src", "dst")) if callable(known) else known
+    near = near.join(have.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("cos"), "dst")))
     first = ranked.orderBy(F.desc("cos"), "src", "dst") if by_score else ranked.orderBy("src", "rank")
     return first.limit(k).select("src", "dst", F.col("cos").alias("score"), "rank")
@@ -80,6 +91,17 @@ def nearest_label(queries: DataFrame, train: DataFrame) -> DataFrame:
     return near.join(train.select(F.col("id").alias("dst"), F.col("label").alias("predicted")), "dst").select(F.col("src").alias("id"), F.col("dst").alias("nearest"), "predicted", F.col("cos").alias("confidence"))
 
 
+def classify_unlabelled(points: DataFrame) -> DataFrame:
+    """Label of the nearest labelled point for each of (id, vec, label) whose label is null or negative."""
+    known = points.where("label >= 0")
+    return nearest_label(points.where("label is null or label < 0").select("id", "vec"), known)
+
+
+def top_members(members: DataFrame, k: int = 10) -> DataFrame:
+    """The k most frequent members of each cluster (cluster, id, canonical, frequency), ties by id."""
+    return members.withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("frequency"), "id"))).where(F.col("rank") <= k)
+
+
 def centroids(points: DataFrame) -> DataFrame:
     """(label, dim, value): means of the components of (id, vec, label)."""
     return points.select("label", F.posexplode("vec").alias("dim", "x")).groupBy("label", "dim").agg(F.avg(F.col("x").cast("double")).alias("value"))
@@ -128,8 +150,8 @@ def dbscan(points: DataFrame, eps: float = 0.5, least: int = 3) -> DataFrame:
     links = near.join(a, "src", "left_semi").join(b, "dst", "left_semi").where("src > dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
     found = components(links)
     root = cores.join(found, cores["id"] == found["node"], "left").select("id", F.coalesce("component", "id").alias("root"))
-    numbers = root.select("root").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("root")) - 1)  # a row for each cluster
-    root = root.join(F.broadcast(numbers), "root").select("id", "cluster")
+    numbers = global_index(root.select("root").distinct(), "root", name="cluster")
+    root = root.join(numbers, "root").select("id", "cluster")
     reach = near.join(root.withColumnRenamed("id", "dst"), "dst").groupBy("src").agg(F.min("cluster").alias("border"))
     out = points.select("id").join(root, "id", "left").join(reach.withColumnRenamed("src", "id"), "id", "left")
     return out.select("id", F.coalesce("cluster", "border", F.lit(-1)).cast("long").alias("cluster"), F.col("cluster").isNotNull().alias("core"))

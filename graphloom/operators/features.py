@@ -76,6 +76,22 @@ def with_features(node_table: DataFrame, features: DataFrame) -> DataFrame:
     return node_table.join(features.select("node_id", "features"), "node_id", "left").withColumn("features", F.coalesce("features", F.array(F.lit(0.0))))
 
 
+def assemble(node_table: DataFrame, blocks: list[DataFrame]) -> DataFrame:
+    """(node_id, features): the blocks (node_id, features) of each node side by side; zeros of a block's width where it has none."""
+    out, parts = node_table.select("node_id"), []
+    for i, b in enumerate(blocks):
+        width = b.agg(F.max(F.size("features"))).first()[0] or 0
+        out = out.join(b.select("node_id", F.col("features").alias(f"f{i}")), "node_id", "left")
+        parts.append(F.coalesce(F.col(f"f{i}"), F.array_repeat(F.lit(0.0), width)))
+    return out.select("node_id", F.concat(*parts).alias("features") if parts else F.array().cast("array<double>").alias("features"))
+
+
+def type_weights(weights: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(node_type, weights): a map from meta-path to weight for each type of kinds (node_type); an empty one where none is given."""
+    maps = weights.groupBy("node_type").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("mp_id", F.col("weight").cast("double").alias("weight"))))).alias("weights"))
+    return kinds.select("node_type").distinct().join(maps, "node_type", "left").withColumn("weights", F.coalesce("weights", F.create_map().cast("map<string,double>")))
+
+
 def augmented_edges(similarities: DataFrame, threshold: float = 0.1, k: int = 50) -> DataFrame:
     """Similarities (mp_id, i, j, value) as edges: those of at least threshold, the k largest of each row of each meta-path."""
     s = similarities.where(F.col("value") >= threshold)

@@ -15,10 +15,18 @@ def assign(node_table: DataFrame, labels: DataFrame, key: str = "node_id") -> Da
     return node_table.join(one, key, "left").withColumn("label", F.coalesce("label", F.lit(-1)))
 
 
+def assign_members(node_table: DataFrame, members: DataFrame) -> DataFrame:
+    """Nodes (node_id, pos) with the label of the member (node_id, local_idx, label) of their id, else of their place, else -1."""
+    by_id = members.where("node_id is not null").groupBy("node_id").agg(F.max("label").alias("_l1"))
+    known = members.join(node_table.select("node_id"), "node_id", "left_anti").where("local_idx is not null")
+    by_place = known.groupBy(F.col("local_idx").alias("pos")).agg(F.max("label").alias("_l2"))
+    return node_table.join(by_id, "node_id", "left").join(by_place, "pos", "left").withColumn("label", F.coalesce("_l1", "_l2", F.lit(-1))).drop("_l1", "_l2")
+
+
 def relabel(labelled: DataFrame, least: int = 3) -> DataFrame:
     """Labels of at least `least` rows numbered from 0 without gaps; others become -1."""
     sizes = labelled.where("label >= 0").groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    number = sizes.select("label", (F.dense_rank().over(Window.orderBy("label")) - 1).alias("new"))  # a row for each label
+    number = global_index(sizes.select("label"), "label", name="new")
     return labelled.join(number, "label", "left").withColumn("new_label", F.coalesce("new", F.lit(-1)).cast("long")).drop("new")
 
 
@@ -31,17 +39,27 @@ def label_sizes(labelled: DataFrame) -> DataFrame:
 def split(items: DataFrame, train: float = 0.6, validation: float = 0.2, seed: int = 42, by: str | None = None) -> DataFrame:
     """items (id, ...) with `part`: train, val or test, shares floored, by a seeded hash; with by, in each class.
 
-    Without by, the hashed order is numbered by ranges; with it, a class is ranked alone.
+    The hashed order is numbered by ranges, with by that of (class, hash) less where the class begins, so that no
+    task sorts a class.
     """
-    h = F.xxhash64("id", F.lit(seed))
+    ranked = items.withColumn("_h", F.md5(F.concat_ws("|", "id", F.lit(seed))))
     if by:
-        ranked = items.withColumn("_at", F.row_number().over(Window.partitionBy(by).orderBy(h, "id")) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(by)))
+        ranked = global_index(ranked, by, "_h", "id", name="_at").drop("_h")
+        sizes = ranked.groupBy(F.col(by).alias("_by")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        ranked = ranked.join(sizes, ranked[by].eqNullSafe(sizes["_by"])).withColumn("_at", F.col("_at") - F.col("_first")).drop("_by", "_first")
     else:
-        ranked = global_index(items.withColumn("_h", h), "_h", "id", name="_at").drop("_h").withColumn("_n", F.lit(items.count()))
+        ranked = global_index(ranked, "_h", "id", name="_at").drop("_h").withColumn("_n", F.lit(items.count()))
     first, second = F.floor(F.col("_n") * train), F.floor(F.col("_n") * train) + F.floor(F.col("_n") * validation)
     return ranked.withColumn("part", F.when(F.col("_at") < first, "train").when(F.col("_at") < second, "val").otherwise("test")).drop("_at", "_n")
 
 
+def checked_split(items: DataFrame, by: str, least: int = 3, **how) -> DataFrame:
+    """split() in each class of at least `least` rows, the rest left out; without two such classes, regardless of class."""
+    sizes = items.where(F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select(by)
+    some = items.join(sizes, by, "left_semi")
+    return split(some, by=by, **how) if sizes.limit(2).count() == 2 else split(items, **how)
+
+
 def ordered_split(items: DataFrame, *order: Column, share: float = 0.8) -> DataFrame:
     """items with `part`: the first share of the rows, floored, is train and the rest test."""
     ranked = global_index(items, *order, name="_at")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.functions.text import certainty, negated, stripped
+from graphloom.functions.text import canonical, certainty, negated, stripped
 from graphloom.session import materialize
 
 # Relation, source types, target types, patterns, whether symmetric; in order of precedence.
@@ -52,12 +52,35 @@ def find_mentions(docs: DataFrame, names: DataFrame) -> DataFrame:
     return cut.select("doc_id", "kind", "name", upto.alias("start"), (upto + F.char_length("name")).alias("stop"), "k", last.alias("last")).where("k < last").drop("k", "last")
 
 
-def keep_apart(mentions: DataFrame) -> DataFrame:
-    """Mentions kept greedily by start, then stop: one that overlaps a kept one goes. A fold over a document's sorted mentions."""
-    m = mentions.where("stop > start").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "kind", "name"))).alias("m"))
+def find_all_forms(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """Mentions as find_mentions() has them, of each name's text and its canonical form; where a document has neither, of
+    its words of over three letters, if it has several words. Places of one name don't overlap: the first one stays."""
+    n = names.select("kind", "name")
+    form = canonical(F.col("name"), F.col("kind"))
+    word = n.select("kind", "name", F.explode(F.split(stripped(F.col("name")), r"(?U)\s+")).alias("form"), F.lit(2).alias("level"))
+    word = word.where((F.char_length("form") > 3) & F.col("name").rlike(r"(?U)\S\s+\S"))
+    forms = n.select("kind", "name", F.col("name").alias("form"), F.lit(1).alias("level")).unionByName(n.select("kind", "name", form.alias("form"), F.lit(1).alias("level")).where("form <> name and form <> ''")).unionByName(word)
+    at = find_mentions(docs, forms.select("kind", F.lower("form").alias("name")).distinct()).withColumnRenamed("name", "low")
+    found = at.join(F.broadcast(forms.withColumn("low", F.lower("form"))), ["kind", "low"]).select("doc_id", "kind", "name", "start", "stop", "level")
+    whole = found.where("level = 1").drop("level")
+    parts = found.where("level = 2").drop("level").join(whole.select("doc_id", "kind", "name").distinct(), ["doc_id", "kind", "name"], "left_anti")
+    return keep_apart(whole.unionByName(parts), ("start", "stop"), ("doc_id", "kind", "name")).select("doc_id", "kind", "name", "start", "stop")
+
+
+def keep_apart(mentions: DataFrame, order: tuple[str, ...] = ("start", "stop", "kind", "name"), by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Mentions kept greedily in the given order, which ascends by start: one that overlaps a kept one goes.
+
+    Mentions that touch no other cluster, by the farthest stop so far, are folded apart from the rest, so that a fold
+    is as long as a run of overlapping mentions and not as a document.
+    """
+    own = Window.partitionBy(*by).orderBy(*order)
+    reach = F.max("stop").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    m = mentions.where("stop > start").distinct().withColumn("_new", F.coalesce(F.col("start") >= reach, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(own))
+    fields = [*order, *(c for c in mentions.columns if c not in order and c not in by)]
+    m = m.groupBy(*by, "_run").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("m"))
     first = F.slice("m", 1, 1)
     kept = F.aggregate(F.slice("m", 2, F.greatest(F.size("m") - 1, F.lit(0))), first, lambda acc, x: F.when(x["start"] >= F.element_at(acc, -1)["stop"], F.concat(acc, F.array(x))).otherwise(acc))
-    return m.select("doc_id", F.explode(kept).alias("x")).select("doc_id", "x.kind", "x.name", "x.start", "x.stop")
+    return m.select(*by, F.explode(kept).alias("x")).select(*(c if c in by else f"x.{c}" for c in mentions.columns))
 
 
 def in_sentences(mentions: DataFrame, sents: DataFrame) -> DataFrame:
@@ -148,7 +171,7 @@ def weak(related: DataFrame, ratio: float = 0.05, least: float = 0.5, seed: int
     """Pairs without a rule whose mentions stand near, of each document as many as its explicit relations allow, by a seeded hash."""
     n = explicit(related).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     c = related.where(F.col("relation").isNull()).withColumn("score", nearness(F.col("apart"))).where(F.col("score") >= least)
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("wid", "start1", "start2", "source", "target", F.lit(seed)), "wid", "start1", "start2")
+    order = Window.partitionBy("doc_id").orderBy(F.md5(F.concat_ws("|", "wid", "start1", "start2", "source", "target", F.lit(seed))), "wid", "start1", "start2")
     c = c.join(n, "doc_id").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= allowed_weak(F.col("n"), ratio))
     return c.select("doc_id", "wid", "window_start", "source_kind", "source", "target_kind", "target", F.lit("related_to").alias("relation"), F.col("score").alias("confidence"), F.lit("possible").alias("certainty"), F.lit(False).alias("negation"))
 

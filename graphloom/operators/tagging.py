@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.functions.text import ENTITY_TYPES, spaced, stripped
-from graphloom.session import ship_package
+from graphloom.operators.relations import keep_apart
 
-EDGES = frozenset(".,;:()[]{}\"'")
+#: Marks that may stand beside an entity, as in a class of a pattern.
+EDGES = r".,;:()\[\]{}\"'"
 #: Texts of more tokens are left out of training data.
 LONGEST = 450
 
@@ -25,61 +25,49 @@ def tag_value(value: Column, kind: Column) -> Column:
     return F.when(value.isNull() | (value == "NULL") | (v == ""), None).otherwise(v)
 
 
-def places(text: str, value: str) -> list[tuple[int, int]]:
-    """Where a value stands between blanks, marks or ends of the text, case ignored; places may overlap."""
-    low, wanted, out, at = text.lower(), " ".join(value.lower().split()), [], 0
-    if not wanted:
-        return out
-    while (p := low.find(wanted, at)) >= 0:
-        e = p + len(value)
-        if (p == 0 or p > len(text) or text[p - 1].isspace() or text[p - 1] in EDGES) and (e >= len(text) or text[e].isspace() or text[e] in EDGES):
-            out.append((p, e))
-        at = p + 1
-    return out
-
-
-def tags_of(text: str, entities: list[tuple[str, str]]) -> list[str]:
-    """A tag for each blank-separated token: of entities (kind, value) that meet, the one that starts first has the token."""
-    tokens, owner, at = text.split(), {}, 0
-    for i, token in enumerate(tokens):
-        while at < len(text) and text[at].isspace():
-            at += 1
-        owner.update((at + k, i) for k in range(len(token)))
-        at += len(token)
-    tags = ["O"] * len(tokens)
-    found = sorted(((s, e, kind) for kind, value in entities for s, e in places(text, value)), key=lambda x: x[0])
-    for s, e, kind in found:
-        first = next((owner[s + k] for k in range(5) if s + k in owner), None)
-        last = next((owner[e - 1 - k] for k in range(5) if e - 1 - k in owner), None)
-        if first is None or last is None or tags[first] != "O":
-            continue
-        tags[first] = f"B-{kind}"
-        for i in range(first + 1, last + 1):
-            if tags[i] == "O":
-                tags[i] = f"I-{kind}"
-    return tags
-
-
-def _tagged(batches):
-    for b in batches:
-        out = [tags_of(t, [(x["kind"], x["value"]) for x in e]) for t, e in zip(b.column("text").to_pylist(), b.column("entities").to_pylist())]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.list_(pa.string()))], ["doc_id", "tags"])
+def tokens_of(texts: DataFrame) -> DataFrame:
+    """(doc_id, pos, start, stop) of the blank-separated tokens of (doc_id, text)."""
+    parts = texts.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?U)\s*\S+"), F.lit(0))).alias("pos", "part"))
+    upto = F.sum(F.char_length("part")).over(Window.partitionBy("doc_id").orderBy("pos"))
+    blanks = F.char_length("part") - F.char_length(F.regexp_replace("part", r"(?U)^\s+", ""))
+    return parts.select("doc_id", "pos", (upto - F.char_length("part") + blanks).alias("start"), upto.alias("stop"))
+
+
+def places(texts: DataFrame, values: DataFrame) -> DataFrame:
+    """(doc_id, kind, place, start, stop): where values (doc_id, kind, value, place) stand in (doc_id, text), case ignored.
+
+    A value stands between blanks, EDGES or ends of the text; its places may overlap. The text is split before each
+    of them, so that the lengths of the parts tell where they are.
+    """
+    wanted = F.lower(stripped(spaced(F.col("value"))))
+    v = values.select("doc_id", "kind", "place", wanted.alias("wanted")).where("wanted <> ''").distinct()
+    both = v.join(texts.select("doc_id", F.lower("text").alias("low")), "doc_id").where("contains(low, wanted)")
+    quoted = F.concat(F.lit("\\Q"), F.replace("wanted", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    inside = F.concat(quoted, F.lit(f"(?=$|[{EDGES}]|(?U:\\s))"))
+    cut = both.select("doc_id", "kind", "place", "wanted", F.posexplode(F.split("low", F.concat(F.lit(f"(?s)(?<=[{EDGES}]|(?U:\\s))(?="), inside, F.lit(")")))).alias("k", "part"), F.rlike(F.col("low"), F.concat(F.lit("^"), inside)).alias("at_head"))
+    own = Window.partitionBy("doc_id", "kind", "place", "wanted").orderBy("k")
+    found = cut.withColumn("start", F.sum(F.char_length("part")).over(own) - F.char_length("part")).where("k > 0 or at_head")
+    return found.select("doc_id", "kind", "place", "start", (F.col("start") + F.char_length("wanted")).alias("stop"))
 
 
 def bio_tags(docs: DataFrame, entities: DataFrame, longest: int | None = LONGEST) -> DataFrame:
     """(doc_id, tags) for docs (doc_id, text) by entities (doc_id, kind, value, place); documents of too many tokens go.
 
-    Which entity has a token depends on those before it, so a text is tagged by one pass in Python.
+    An entity covers the tokens that it overlaps. Of entities that would share a token the one that starts first has
+    it, then the one of the smaller place; one that finds its first token taken is left out.
     """
-    ship_package(docs.sparkSession)
-    text = F.coalesce("text", F.lit(""))
-    own = entities.select("doc_id", "place", "kind", tag_value(F.col("value"), F.col("kind")).alias("value")).where("value is not null")
-    lists = own.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "kind", "value"))), lambda x: F.struct(F.upper(x["kind"]).alias("kind"), x["value"].alias("value"))).alias("entities"))
-    d = docs.select("doc_id", text.alias("text"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     if longest is not None:
-        d = d.where(F.regexp_count("text", F.lit(r"(?U)\S+")) <= longest)
-    d = d.join(lists, "doc_id", "left").withColumn("entities", F.coalesce("entities", F.array().cast("array<struct<kind:string,value:string>>")))
-    return d.mapInArrow(_tagged, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tags array<string>")
+        texts = texts.where(F.regexp_count("text", F.lit(r"(?U)\S+")) <= longest)
+    values = entities.select("doc_id", "place", "kind", tag_value(F.col("value"), F.col("kind")).alias("value")).where("value is not null")
+    tokens = tokens_of(texts)
+    spans = places(texts, values).withColumnsRenamed({"start": "from", "stop": "to"})
+    over = spans.join(tokens, "doc_id").where("start < to and stop > from").groupBy("doc_id", "kind", "place", "from", "to").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("stop"))
+    kept = keep_apart(over.select("doc_id", "from", "place", "to", "kind", "start", "stop"), ("from", "place", "to", "kind"))
+    named = kept.select("doc_id", F.upper("kind").alias("kind"), F.col("start").alias("first"), F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("pos"))
+    tag = F.concat(F.when(F.col("pos") == F.col("first"), "B-").otherwise("I-"), "kind")
+    tagged = tokens.join(named.select("doc_id", "pos", tag.alias("tag")), ["doc_id", "pos"], "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("tag", F.lit("O")).alias("tag")))).alias("t"))
+    return texts.select("doc_id").join(tagged, "doc_id", "left").select("doc_id", F.coalesce(F.transform("t", lambda x: x["tag"]), F.array().cast("array<string>")).alias("tags"))
 
 
 def training_rows(tagged: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from graphloom.operators import embeddings as emb
 from graphloom.operators import entities as ent
 from graphloom.operators import features as feat
 from graphloom.operators import graph, labels, metapath, relations, reports, tagging
+from graphloom.functions.text import HEDGES, NEGATIONS, PROBABLE
 from graphloom.operators.metapath import MetaPath
 from graphloom.plans.triples import EDGES_SQL, NODES_SQL, TRIPLES_SQL, relational_triples
 from graphloom.session import materialize, table
@@ -248,7 +249,15 @@ def bpr_weights(spark, d):
     return spark.createDataFrame([("SPS", float(w[0])), ("SNS", float(w[1]))], "mp_id string, weight double")
 
 
-@query()
+_HASH = "CAST('0x' || substr(md5({}), 1, 12) AS BIGINT) % {}"
+
+
+@query(
+    f"""WITH n AS (SELECT count(*) AS n FROM customer), i AS (SELECT c_custkey AS i, {_HASH.format("c_custkey || '|42'", "n")} AS spot FROM customer, n),
+    t AS (SELECT i, unnest(range(1, greatest(1, -(-3000 // n)) + 1)) AS t, n FROM (SELECT c_custkey AS i FROM customer), n), tries AS (SELECT i, {_HASH.format("i || '|' || t || '|43'", "n")} AS spot FROM t),
+    p AS (SELECT DISTINCT tries.i, i.i AS j FROM tries JOIN i USING (spot) WHERE tries.i <> i.i), q AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = p.i AND o_orderkey = p.j))
+    SELECT i, j FROM q ORDER BY {_HASH.format("i || '|' || j || '|42'", 1 << 40)}, i, j LIMIT 1000"""
+)
 def negative_samples(spark, d):
     items = table(spark, d, "customer").select(F.col("c_custkey").alias("i"))
     known = table(spark, d, "orders").select(F.col("o_custkey").alias("i"), F.col("o_orderkey").alias("j"))
@@ -394,6 +403,35 @@ def _cued(docs):
 CUES = (("and", "exploit"), ("was", "affected"), ("for", "target"), ("des", "connect"), ("que", "download"), ("as", "linked to"), ("by", "uses"), ("los", "contain"), ("en", "based on"))
 
 
+_HEDGES_SQL = "CASE " + " ".join(f"WHEN contains(low, '{w}') THEN '{'probable' if w in PROBABLE else 'possible'}'" for w in HEDGES) + " ELSE 'confirmed' END"
+_NEGATED_SQL = "regexp_matches(low, '" + "|".join(w.replace("'", "''") for w in NEGATIONS) + "')"
+
+
+def _cued_sql() -> str:
+    """Texts with the cue words replaced; twice each, since a blank between two words of a kind belongs to one match."""
+    out = "coalesce(text, '')"
+    for word, verb in CUES:
+        for _ in range(2):
+            out = rf"regexp_replace({out}, '(^|[^0-9A-Za-z_\p{{L}}\p{{N}}\p{{M}}]){word}($|[^0-9A-Za-z_\p{{L}}\p{{N}}\p{{M}}])', '\1{verb}\2', 'g')"
+    return out
+
+
+_RULE_ROWS = ", ".join(f"({i * 100 + j}, '{r[0]}', '{p}', {list(r[1])}, {list(r[2])})" for i, r in enumerate(relations.RULES) if r[0] != "related_to" for j, p in enumerate(r[3]))
+_RULES_SQL = (
+    f"WITH cued AS (SELECT doc_id, {_cued_sql()} AS text FROM documents), "
+    + _PLACED_SQL.removeprefix("WITH ").replace("FROM documents", "FROM cued")
+    + rf""", rules(no, relation, pattern, sources, targets) AS (VALUES {_RULE_ROWS}),
+    w AS (SELECT doc_id, wid, window_start, evidence AS low, chr(1) || regexp_replace(evidence, '[^ 0-9A-Za-z_\p{{L}}\p{{N}}\p{{M}}]', chr(1), 'g') || chr(1) AS t FROM wins),
+    hits AS (SELECT w.doc_id, w.wid, no, relation, pattern, sources, targets FROM w JOIN rules ON contains(t, ' ' || pattern || ' ') OR contains(t, ' ' || pattern || chr(1)) OR contains(t, chr(1) || pattern || ' ') OR contains(t, chr(1) || pattern || chr(1))),
+    fits AS (SELECT p.*, h.no, h.relation, h.pattern, list_contains(h.sources, p.kind1) AND list_contains(h.targets, p.kind2) AS ahead FROM pairs p JOIN hits h ON h.doc_id = p.doc_id AND h.wid = p.wid
+      WHERE (list_contains(h.sources, p.kind1) AND list_contains(h.targets, p.kind2)) OR (list_contains(h.sources, p.kind2) AND list_contains(h.targets, p.kind1))),
+    one AS (SELECT *, row_number() OVER (PARTITION BY doc_id, wid, kind1, name1, start1, kind2, name2, start2 ORDER BY no) AS k FROM fits),
+    told AS (SELECT one.doc_id, one.wid, w.window_start, CASE WHEN ahead THEN kind1 ELSE kind2 END AS source_kind, CASE WHEN ahead THEN name1 ELSE name2 END AS source, CASE WHEN ahead THEN kind2 ELSE kind1 END AS target_kind,
+      CASE WHEN ahead THEN name2 ELSE name1 END AS target, relation, pattern, start1, start2, {_HEDGES_SQL} AS certainty, {_NEGATED_SQL} AS negation FROM one JOIN w USING (doc_id, wid) WHERE k = 1),
+    explicit AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, source_kind, source, target_kind, target, relation, window_start ORDER BY wid, start1, start2, pattern) AS k FROM told) WHERE k = 1)"""
+)
+
+
 def _related(spark, d):
     docs = _cued(_docs(spark, d))
     sents = materialize(relations.sentences(docs), "sentences")
@@ -401,13 +439,13 @@ def _related(spark, d):
     return docs, relations.relate(relations.pairs(placed), relations.windows(sents))
 
 
-@query()
+@query(f"{_RULES_SQL} SELECT doc_id, wid, source_kind, source, target_kind, target, relation, pattern, CAST(0.8 AS DOUBLE) AS confidence, certainty, negation FROM explicit")
 def relation_rules(spark, d):
     """Relations by rule, between mentions in windows of two sentences."""
     return relations.explicit(_related(spark, d)[1]).select("doc_id", "wid", "source_kind", "source", "target_kind", "target", "relation", "pattern", "confidence", "certainty", "negation")
 
 
-@query()
+@query(f"{_RULES_SQL} SELECT doc_id, relation, count(*) AS count FROM explicit GROUP BY 1, 2")
 def relation_histogram(spark, d):
     return relations.histogram(relations.explicit(_related(spark, d)[1]))
 
@@ -459,7 +497,11 @@ _KNOWN = "known AS (SELECT a.vec_id AS src, b.vec_id AS dst FROM embeddings a JO
 )
 def link_predict(spark, d):
     p = _points(spark, d)
-    known = p.select(F.col("id").alias("src"), "label").join(p.select(F.col("id").alias("dst"), "label"), "label")
+
+    def known(near):
+        a, b = p.select(F.col("id").alias("src"), F.col("label").alias("l1")), p.select(F.col("id").alias("dst"), F.col("label").alias("l2"))
+        return near.join(a, "src").join(b, "dst").where("l1 = l2")
+
     return emb.predict_links(p.select("id", "vec"), p.select("id", "vec"), known, 100, 0.3).select("src", "dst", r6("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -537,10 +579,13 @@ def pca2(spark, d):
     return emb.pca(_points(spark, d))
 
 
-@query()
+@query(
+    f"""WITH {_COS}, c AS (SELECT a.label, (sum(cos) - count(DISTINCT a.id)) / (count(DISTINCT a.id) * (count(DISTINCT a.id) - 1)) AS cohesion, count(DISTINCT a.id) AS size FROM cs JOIN u a ON a.id = src JOIN u b ON b.id = dst WHERE a.label = b.label GROUP BY 1)
+    SELECT label, size, round(cohesion, 5) AS cohesion, least(50, size) AS members FROM c"""
+)
 def cluster_summaries(spark, d):
     meta = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("canonical"), F.col("n_chars").alias("frequency"))
-    return emb.summaries(_points(spark, d), meta).select("label", "size", r6("cohesion"), F.size("members").alias("members"))
+    return emb.summaries(_points(spark, d), meta).select("label", F.col("size").cast("long").alias("size"), F.round("cohesion", 5).alias("cohesion"), F.size("members").cast("long").alias("members"))
 
 
 # ---- neighbourhoods, time ----------------------------------------------------------------------------------
@@ -599,15 +644,21 @@ def label_assign(spark, d):
     return labels.assign(n, lab).select("node_id", "n_name", "label")
 
 
-@query()
+_PARTS = "c AS (SELECT grp, n, CAST(floor(n * CAST(0.6 AS DOUBLE)) AS BIGINT) AS a, CAST(floor(n * CAST(0.2 AS DOUBLE)) AS BIGINT) AS b FROM g), p AS (SELECT grp, 'train' AS part, a AS rows FROM c UNION ALL SELECT grp, 'val', b FROM c UNION ALL SELECT grp, 'test', n - a - b FROM c)"
+
+
+@query(f"WITH g AS (SELECT c_nationkey AS grp, count(*) AS n FROM customer GROUP BY 1), {_PARTS} SELECT grp AS c_nationkey, part, rows FROM p WHERE rows > 0")
 def stratified_split(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey")
     return labels.split(c, by="c_nationkey").groupBy("c_nationkey", "part").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query()
+@query(
+    """WITH r AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY md5(o_orderkey || '|42'), o_orderkey) - 1 AS place, count(*) OVER () AS n FROM orders)
+    SELECT id, CASE WHEN place < floor(n * CAST(0.6 AS DOUBLE)) THEN 'train' WHEN place < floor(n * CAST(0.6 AS DOUBLE)) + floor(n * CAST(0.2 AS DOUBLE)) THEN 'val' ELSE 'test' END AS part FROM r"""
+)
 def random_split(spark, d):
-    return labels.split(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))).groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+    return labels.split(table(spark, d, "orders").select(F.col("o_orderkey").alias("id")))
 
 
 @query("WITH n AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) - 1 AS place, count(*) OVER () AS n FROM orders) SELECT id, CASE WHEN place < floor(n * 0.8) THEN 'train' ELSE 'test' END AS part FROM n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,16 +21,20 @@ def landed_feed(spark: SparkSession, path: str, limit: int | None = None) -> Dat
     return items.limit(limit) if limit else items
 
 
-def paged_feed(spark: SparkSession, fetch: Callable[[int], list[dict]], keep: Callable[[DataFrame], DataFrame] | None = None, limit: int = 1000) -> DataFrame:
+def paged_feed(spark: SparkSession, fetch: Callable[..., list[dict]], keep: Callable[[DataFrame], DataFrame] | None = None, limit: int = 1000, since: str | None = None, pause: float = 0.0) -> DataFrame:
     """Items of a paged service, by an injected fetch(page) from page 1: until limit kept ones or an empty page.
 
+    With since, fetch(page, since) lets the service leave out what is older; pause is slept between pages.
+
     A page that fails ends the scan with what came before it. The service is asked from the driver, since its
     pages follow one another; keep filters every page, and kept items count.
     """
     out, n, page = None, 0, 1
     while n < limit:
         try:
-            items = fetch(page)
+            if page > 1 and pause:
+                time.sleep(pause)
+            items = fetch(page) if since is None else fetch(page, since)
         except Exception:  # noqa: BLE001  a failing page ends the scan
             break
         if not items:
@@ -88,6 +93,23 @@ def dataset(spark: SparkSession, path: str) -> DataFrame:
     return e.select("doc_id", "kind", F.filter("vals", lambda v: v != "NULL").alias("vals"), F.coalesce(F.try_element_at("confidence_scores", "kind"), F.lit(0.9)).alias("confidence"))
 
 
+def graph(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """What writers.graph() wrote: nodes, edges, relations (a row for each triplet) and types (places of nodes in their type)."""
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("nodes", "edges", "relations", "types")}
+
+
+CLUSTER = "cluster_id int, node_type string, size int, cohesion double, members array<struct<node_id:bigint,local_idx:bigint,canonical:string,frequency:bigint>>"
+
+
+def clusters(spark: SparkSession, glob: str, lines: bool = True) -> DataFrame:
+    """Members (cluster_id, node_type, node_id, local_idx, canonical, frequency, label) of the cluster files that a glob finds.
+
+    Files hold a cluster a line, or without lines a list of clusters each.
+    """
+    c = spark.read.schema(CLUSTER).option("multiLine", not lines).json(glob)
+    return c.select("cluster_id", "node_type", F.explode("members").alias("m")).select("cluster_id", "node_type", "m.*", F.col("cluster_id").alias("label"))
+
+
 def table_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A Parquet table, or an empty one where there is none."""
     jvm = spark.sparkContext._jvm

@@ -58,9 +58,12 @@ def test_spans(spark):
     assert sorted((r["kind"], r["value"], r["confidence"]) for r in tagging.spans(t).collect()) == [("FILE", "d", 0.8), ("IP", "a b", 0.5)]
 
 
-@pytest.mark.parametrize("text, entities, want", [("see evil.com now", [("DOMAIN", "evil.com")], "O B-DOMAIN O"), ("Fancy Bear here", [("X", "Fancy Bear"), ("Y", "Bear")], "B-X I-X O"), ("xevil.com", [("DOMAIN", "evil.com")], "O"), ("", [("X", "a")], "")])
-def test_tags(text, entities, want):
-    assert " ".join(tagging.tags_of(text, entities)) == want
+@pytest.mark.parametrize("text, entities, want", [("see evil.com now", [("DOMAIN", "evil.com")], "O B-DOMAIN O"), ("Fancy Bear here", [("X", "Fancy Bear"), ("Y", "Bear")], "B-X I-X O"), ("xevil.com", [("DOMAIN", "evil.com")], "O"), ("", [("X", "a")], ""), ("(a.a.a) b  a.a", [("Y", "A.A"), ("Z", "a.a) b")], "B-Y O B-Y"), ("x b c d", [("P", "b c"), ("Q", "c d"), ("R", "D")], "O B-P I-P B-R")])
+def test_tags(spark, text, entities, want):
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    e = spark.createDataFrame([(1, kind, value, i) for i, (kind, value) in enumerate(entities)], "doc_id long, kind string, value string, place int")
+    got = {r["doc_id"]: " ".join(r["tags"]) for r in tagging.bio_tags(docs, e).collect()}
+    assert got == {1: want, 2: ""}
 
 
 def test_related(spark):
@@ -83,3 +86,25 @@ def test_weak_relations_are_capped(spark, n, want):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(relations.allowed_weak(F.lit(n)).alias("x")).first()["x"] == want
+
+
+def test_forms_of_names(spark):
+    docs = spark.createDataFrame([(1, "CVE-2024-12345 and cve 2024 12345"), (2, "a fancy thing, no animal"), (3, "Fancy Bear is fancy")], "doc_id long, text string")
+    names = spark.createDataFrame([("Vulnerability", "cve 2024 12345"), ("ThreatActor", "Fancy Bear")], "kind string, name string")
+    got = sorted((r["doc_id"], r["name"], r["start"], r["stop"]) for r in relations.find_all_forms(docs, names).collect())
+    assert got == [(1, "cve 2024 12345", 0, 14), (1, "cve 2024 12345", 19, 33), (2, "Fancy Bear", 2, 7), (3, "Fancy Bear", 0, 10)]
+
+
+def test_checked_split_and_members(spark):
+    items = spark.createDataFrame([(i, i % 2 if i < 20 else 7) for i in range(22)], "id long, grp int")
+    n = {(r["grp"], r["part"]): r["count"] for r in labels.checked_split(items, "grp").groupBy("grp", "part").count().collect()}
+    assert n == {(g, p): k for g in (0, 1) for p, k in (("train", 6), ("val", 2), ("test", 2))}
+    assert labels.checked_split(items.where("grp <> 1"), "grp").count() == 12
+    nodes = spark.createDataFrame([(10, 0), (11, 1), (12, 2)], "node_id long, pos long")
+    members = spark.createDataFrame([(10, None, 4), (99, 1, 5), (None, 0, 6)], "node_id long, local_idx long, label int")
+    assert {r["node_id"]: r["label"] for r in labels.assign_members(nodes, members).collect()} == {10: 4, 11: 5, 12: -1}
+
+
+def test_unlabelled_get_the_nearest_label(spark):
+    p = points(spark, [([1, 0], 3), ([0, 1], 4), ([1, 0.1], -1)])
+    assert [(r["id"], r["predicted"]) for r in embeddings.classify_unlabelled(p).collect()] == [(2, 3)]
