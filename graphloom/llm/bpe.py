@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 
 from graphloom.llm.common import pieces
 
-#: Pre-tokens of more bytes than this are merged by a linked list, in n log n steps.
+#: Rows of more bytes than this merge all places of their minimum-rank pair in one round, since each round scans the row.
 WIDEST = 192
 #: Different pre-tokens that a worker remembers before it starts anew.
 REMEMBERED = 400_000
@@ -71,7 +71,8 @@ class Codec:
         for i in range(256):
             self.byte[i] = ranks[bytes([i])]
         pairs = {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
-        self.pairs, self.table = pairs, PairTable(pairs)
+        self.table = PairTable(pairs)
+        self.inverted = any(r < max(a, b) for (a, b), r in pairs.items())
         tokens = sorted((r, t) for t, r in ranks.items())
         top = tokens[-1][0] + 1
         self.length, self.offset = np.zeros(top, np.int64), np.zeros(top, np.int64)
@@ -88,7 +89,7 @@ class Codec:
         buckets: dict[int, list[int]] = {}
         for i, p in enumerate(parts):
             if len(p) > WIDEST:
-                out[i] = self._long(p)
+                out[i] = self._wide(p)
             elif p:
                 buckets.setdefault(max(4, 1 << (len(p) - 1).bit_length()), []).append(i)
         for width, which in buckets.items():
@@ -134,30 +135,33 @@ class Codec:
             ranks[columns[:most] >= size[:, None] - 1] = self.absent
         return [tuple(r[:s]) for r, s in zip(done_ids.tolist(), done_size.tolist())]
 
-    def _long(self, part: bytes) -> tuple[int, ...]:
-        """The same merges for one long part, by a heap of (rank, place)."""
-        from heapq import heapify, heappop, heappush
-
-        ids = self.byte[np.frombuffer(part, np.uint8)].tolist()
-        n, get = len(ids), self.pairs.get
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i) for i in range(n - 1) if (r := get((ids[i], ids[i + 1]))) is not None]
-        heapify(heap)
-        while heap:
-            r, i = heappop(heap)
-            j = after[i]
-            if ids[i] < 0 or j >= n or get((ids[i], ids[j])) != r:
-                continue
-            ids[i], ids[j] = r, -1
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if (q := get((r, ids[k]))) is not None:
-                    heappush(heap, (q, i))
-            h = before[i]
-            if h >= 0 and (q := get((ids[h], r))) is not None:
-                heappush(heap, (q, h))
-        return tuple(x for x in ids if x >= 0)
+    def _wide(self, part: bytes) -> tuple[int, ...]:
+        """The same merges for one row too wide to scan once for each merge: all places of its minimum-rank pair in one round.
+
+        They are merged from the left, where two overlap the first of them. That is what one at a time comes to, unless a
+        merge makes a pair of lower rank; then the round merges the leftmost alone.
+        """
+        ids = self.byte[np.frombuffer(part, np.uint8)].astype(np.int64)
+        get = lambda a, b: self.table.get(a, b, self.absent)
+        ranks = get(ids[:-1], ids[1:])
+        while len(ranks) and (best := int(ranks.min())) != self.absent:
+            at = np.flatnonzero(ranks == best)
+            run = np.flatnonzero(np.append(True, np.diff(at) != 1))
+            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
+            if len(at) > 1 and self.inverted:
+                after = at[at + 2 < len(ids)]
+                if (get(np.full(len(after), best), ids[after + 2]) < best).any() or (get(ids[at[at > 0] - 1], np.full((at > 0).sum(), best)) < best).any() or (get(np.array([best]), np.array([best])) < best).any():
+                    at = at[:1]
+            ids[at] = best
+            stay = np.ones(len(ids), bool)
+            stay[at + 1] = False
+            ids = ids[stay]
+            new = at - np.arange(len(at))  # places after compaction
+            ranks = ranks[stay[: len(ranks)]][: len(ids) - 1]
+            for near in (new - 1, new):
+                near = near[(near >= 0) & (near + 1 < len(ids))]
+                ranks[near] = get(ids[near], ids[near + 1])
+        return tuple(ids.tolist())
 
     def learn(self, parts: set[str]) -> None:
         fresh = [p for p in parts if p not in self.known]

@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 #: The template's own marks and those of common chat formats; fixed values. A backslash before one makes it text.
 CONTROL = r"</?s>|\[/?INST\]|<</?SYS>>|<\|[A-Za-z_]*\|>"
 OPEN, CLOSE = "<|turn|>", "<|end|>"
+#: Code points of a streamed delta.
+DELTA = 256
 
 
 def escaped(text: Column) -> Column:
@@ -20,6 +22,35 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, rf"\\(\\*)({CONTROL})", "$1$2")
 
 
+def role_line(role: Column) -> Column:
+    """role on one line, reversibly: backslashes doubled, newlines as a backslash and n, control strings escaped."""
+    return escaped(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
+
+
+def role_back(line: Column) -> Column:
+    """What role_line() was given: an odd number of backslashes before an n ends in a newline."""
+    return F.replace(F.regexp_replace(unescaped(line), r"(?<!\\)((?:\\\\)*)\\n", "$1\n"), F.lit("\\\\"), F.lit("\\"))
+
+
+def event_log(conversations: DataFrame) -> DataFrame:
+    """A table (conv_id, turn, role, text) as the log (conv_id, seq, turn, kind, role, text) of how it came about.
+
+    A user's message is sent without its last part and then edited to the whole. Any other is streamed: a start, a
+    first attempt of one delta, a regeneration, and the text in deltas of DELTA code points. Rows of a conversation are
+    numbered by turn, role and text; nothing of the table is in one event alone that a fold could pass on as it is.
+    """
+    own = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = conversations.select("conv_id", F.row_number().over(own).cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    parts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{DELTA}}}"), F.lit(0))
+    event = lambda kind, role, text: F.struct(F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+    none = F.lit(None).cast("string")
+    draft = F.coalesce(F.try_element_at("parts", F.lit(1)), F.lit(""))
+    edited = F.array(event("message", F.col("role"), draft), event("edit", none, F.col("text")))
+    streamed = F.concat(F.array(event("message", F.col("role"), F.lit("")), event("delta", none, draft), event("regenerate", none, F.lit(""))), F.transform("parts", lambda p: event("delta", none, p)))
+    events = rows.withColumn("parts", parts).select("conv_id", "turn", F.posexplode(F.when(F.col("role") == "user", edited).otherwise(streamed)).alias("place", "e"))
+    return events.select("conv_id", (F.col("turn") * (1 << 32) + F.col("place")).alias("seq"), "turn", "e.kind", "e.role", "e.text")
+
+
 def fold(events: DataFrame) -> DataFrame:
     """Final messages (conv_id, turn, role, text) of an event log (conv_id, seq, turn, kind, role, text).
 
@@ -45,11 +76,11 @@ def fold(events: DataFrame) -> DataFrame:
 def render(messages: DataFrame) -> DataFrame:
     """conv_id, formatted and loss_spans (start from 0 and length, code points) of each conversation's messages.
 
-    A turn is OPEN, role, newline, escaped text, newline, CLOSE, newline; the loss mask covers the escaped texts
+    A turn is OPEN, the role on one line, newline, escaped text, newline, CLOSE, newline; the loss mask covers the escaped texts
     of assistant turns. Turns stand by turn, then role and text; a conversation is one row, since its rendering is.
     """
     body = escaped(F.col("text"))
-    lead = F.concat(F.lit(OPEN), escaped(F.col("role")), F.lit("\n"))
+    lead = F.concat(F.lit(OPEN), role_line(F.col("role")), F.lit("\n"))
     parts = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     parts = parts.select("conv_id", "turn", "role", "text", lead.alias("lead"), body.alias("body"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
@@ -75,20 +106,18 @@ def read_back(formatted: Column) -> Column:
 
     def turn(x: Column) -> Column:
         lead = F.instr(x, "\n")
-        return F.struct(unescaped(F.substring(x, F.lit(1), lead - 1)).alias("role"), unescaped(F.substring(x, lead + 1, F.char_length(x) - lead - len(f"\n{CLOSE}\n"))).alias("text"))
+        return F.struct(role_back(F.substring(x, F.lit(1), lead - 1)).alias("role"), unescaped(F.substring(x, lead + 1, F.char_length(x) - lead - len(f"\n{CLOSE}\n"))).alias("text"))
 
     return F.transform(parts, turn)
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
-    """Rendered conversations of a table (conv_id, turn, role, text), each row a message event.
+    """Rendered conversations of a table (conv_id, turn, role, text), folded from the log of its events.
 
     Null texts are empty; a null role is an empty one; null turns come first; rows with a null conv_id are one
     conversation; several rows of one turn are different messages; other columns are ignored.
     """
-    own = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    events = conversations.select("conv_id", F.row_number().over(own).cast("long").alias("turn"), "role", "text").select("conv_id", "turn", F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
-    return render(fold(events))
+    return render(fold(event_log(conversations)))
 
 
 def digests(rendered: DataFrame) -> DataFrame:

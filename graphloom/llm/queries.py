@@ -22,6 +22,7 @@ def _pattern() -> str:
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.sharding import shard
 
+    ship_package(spark)
     return shard(table(spark, sf_dir, "documents"), shards=24)
 
 
@@ -102,6 +103,7 @@ WITH turns AS (
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), marked AS (
   SELECT *, length(role) + length(text) + len('<|turn|>') + len('<|end|>') + 3
+    + length(role) - length(replace(replace(role, chr(10), ''), chr(92), ''))
     + len(regexp_extract_all(role, '</?s>|\[/?INST\]|<</?SYS>>|<\|[A-Za-z_]*\|>'))
     + len(regexp_extract_all(text, '</?s>|\[/?INST\]|<</?SYS>>|<\|[A-Za-z_]*\|>')) AS chars
   FROM turns

@@ -60,6 +60,53 @@ def test_sharding(spark, docs, empty, corpus):
     assert shard(empty).count() == 0
 
 
+def test_every_group_is_placed_where_the_dot_product_is_highest(spark):
+    from graphloom.llm.sharding import shard
+
+    rows = [(i, prose(i, 5 + (i * 37) % 90)) for i in range(300)] + [(900 + i, prose(i, 5 + (i * 37) % 90)) for i in range(20)]
+    loads = defaultdict(lambda: [0.0, 0.0, 0.0])
+    for _, t in rows:
+        for k, x in enumerate((len(t.encode()) + 8, len(t.split()), 1)):
+            loads[t][k] += x
+    total = [sum(x[k] for x in loads.values()) for k in range(3)]
+    homes, left = {}, [[1.0] * 3 for _ in range(4)]
+    unit = {t: [4 * x[k] / total[k] for k in range(3)] for t, x in loads.items()}
+
+    def fill(texts, capacity):
+        for t in sorted(texts, key=lambda t: (-max(unit[t]), -sum(unit[t]))):
+            fit = [k for k in range(4) if all(capacity[k][j] >= unit[t][j] - 1e-12 for j in range(3))]
+            homes[t] = max(fit, key=lambda k: sum(a * b for a, b in zip(capacity[k], unit[t]))) if fit else max(range(4), key=lambda k: capacity[k][0])
+            for j in range(3):
+                capacity[homes[t]][j] -= unit[t][j]
+
+    fill([t for t in unit if max(unit[t]) > 1 / 128], left)
+    fill([t for t in unit if max(unit[t]) <= 1 / 128], left)
+    size, want = Counter(), Counter()
+    for r in shard(table(spark, rows), shards=4).collect():
+        size[r["shard"]] += r["size"]
+    for _, t in rows:
+        want[homes[t]] += len(t.encode()) + 8
+    mean = sum(want.values()) / 4  # as even as one greedy pass over all groups by plain Python, but for ties
+    assert max(abs(x - mean) for x in size.values()) <= 1.5 * max(abs(x - mean) for x in want.values()) + 0.001 * mean
+
+
+def test_groups_are_placed_by_many_tasks(spark, monkeypatch):
+    from graphloom.llm import sharding
+
+    monkeypatch.setattr(sharding, "PLACED", 100)
+    rows = [(i % 700, f"{i % 900} " * (1 + i % 13)) for i in range(1800)] + [(5, "same")] * 300
+    got = sharding.shard(table(spark, rows), shards=6).collect()
+    assert len(got) == len(rows)
+    size, homes = Counter(), defaultdict(set)
+    for r in got:
+        size[r["shard"]] += r["size"]
+        homes[r["text_crc32"]].add(r["shard"])
+    assert max(size.values()) < 1.05 * min(size.values())
+    assert sum(len(v) > 1 for v in homes.values()) <= 1
+    for s in range(6):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
 def test_a_group_larger_than_a_shard_is_split(spark):
     from graphloom.llm.sharding import shard
 
@@ -328,7 +375,7 @@ def test_bpe(spark, docs, empty, corpus):
 
     path = p.path("byte_bpe_multi_50k.tiktoken")
     e = tiktoken.Encoding("t", pat_str=p.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}, special_tokens={})
-    rows = [*corpus, (60, "z" * 3000 + "ab" * 900), (61, "it's  \n\n 12 漢字 😀<|endoftext|>")]
+    rows = [*corpus, (60, "z" * 3000 + "ab" * 900), (62, "".join(np.random.default_rng(1).choice(list("abcdeéñ漢"), 20_000))), (63, "a" * 191 + " " + "ab" * 97 + " " + "the" * 2000), (61, "it's  \n\n 12 漢字 😀<|endoftext|>")]
     for r in encode(table(spark, rows), path, p.PATTERN).collect():
         t = dict(rows)[r["doc_id"]] or ""
         assert r["ids"] == e.encode_ordinary(t) and bytes(r["decoded"]).decode() == t and r["n_tokens"] == len(r["ids"])
@@ -497,7 +544,7 @@ CONTROL = ["</s>", "[INST] x [/INST]", r"\</s>", r"a\\<|turn|>b", "<|end|>\n<|tu
 def test_chat(spark):
     from graphloom.llm.chat import digests, format_chats
 
-    rows = [(1, i, "user" if i % 2 == 0 else "assistant", t, "x") for i, t in enumerate(CONTROL)] + [(2, None, None, "a", "x"), (2, 3, "assistant", "b", "x"), (2, 3, "assistant", "b", "x"), (None, 0, "user", "c", "x")]
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", t, "x") for i, t in enumerate(CONTROL)] + [(2, None, None, "a", "x"), (2, 3, "assistant", "b", "x"), (2, 3, "assistant", "b", "x"), (None, 0, "user", "c", "x"), (3, 0, "a\n\\n\\\\", "d", "x"), (3, 1, "</s>\n", "é" * 700, "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
     got = {r["conv_id"]: r for r in digests(format_chats(df)).collect()}
     flat = lambda turns: hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
@@ -505,9 +552,23 @@ def test_chat(spark):
     loss = "".join(t for r, t in turns if r == "assistant")
     assert (got[1]["n_turns"], got[1]["turns_sha256"], got[1]["loss_chars"], got[1]["loss_sha256"]) == (len(turns), flat(turns), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert got[2]["turns_sha256"] == flat([("", "a"), ("assistant", "b"), ("assistant", "b")]) and got[None]["n_turns"] == 1
+    assert got[3]["turns_sha256"] == flat([("a\n\\n\\\\", "d"), ("</s>\n", "é" * 700)])
     assert digests(format_chats(df.limit(0))).count() == 0
 
 
+def test_the_log_of_a_table_must_be_folded(spark):
+    from graphloom.llm.chat import event_log, fold
+
+    rows = [(1, 0, "user", "ab" * 400), (1, 1, "assistant", "xy" * 300), (1, 2, "user", None), (1, 3, "assistant", "")]
+    log = event_log(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    by = defaultdict(list)
+    for r in sorted(log.collect(), key=lambda r: r["seq"]):
+        by[r["turn"]].append(r["kind"])
+    assert by[1] == ["message", "edit"] and by[2] == ["message", "delta", "regenerate", *["delta"] * 3] and by[4] == ["message", "delta", "regenerate"]
+    got = {r["turn"]: (r["role"], r["text"]) for r in fold(log.orderBy("text")).collect()}
+    assert got == {i + 1: (r, t or "") for _, i, r, t in rows}
+
+
 def test_event_logs(spark):
     from graphloom.llm.chat import fold
 
