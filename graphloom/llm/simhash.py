@@ -301,9 +301,12 @@ def near_dedup(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
 #: Nearest partners of smaller doc_id that a text proposes in each bucket of fingerprints.
 FEW = 2
 #: Texts, about, whose shingles are counted to tell common ones, and how often a common one occurs there at least.
-SAMPLE, COMMON = 10_000, 4
+SAMPLE, COMMON = 50_000, 2
 #: Common shingles at most that are sent to all tasks.
-MOST_COMMON = 1 << 16
+MOST_COMMON = 1 << 20
+#: Texts with one shingle in their prefixes up to which all pairs are candidates at once. Of more, neighbours by size
+#: are compared first, and the rest when those have joined groups.
+CHAIN = 64
 #: Texts with one shingle in their prefixes beyond which these are dealt out again by a second shingle.
 HOT = 2048
 #: Different texts are compared where their counts of shingles are within a factor of 4, or close to it.
@@ -415,8 +418,10 @@ def common_shingles(docs: DataFrame, rows: int, size: int) -> tuple[np.ndarray,
     """
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, rows // SAMPLE))) == 0)
     counts = some.mapInArrow(lambda it: _counted(it, size), "sig long, n long").groupBy("sig").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
-    got = sorted((r["sig"] % 2**64, r["n"]) for r in counts.orderBy(F.desc("n"), "sig").limit(MOST_COMMON).collect())
-    return np.array([x[0] for x in got], U), np.array([x[1] for x in got], np.int64)
+    got = counts.orderBy(F.desc("n"), "sig").limit(MOST_COMMON).toArrow()
+    sig, n = got.column("sig").to_numpy().view(U), got.column("n").to_numpy()
+    order = np.argsort(sig)
+    return sig[order], n[order]
 
 
 def prefix_length(n, similarity: float):
@@ -486,19 +491,22 @@ def _twice(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["sig", "rep", "label", "weight", "place"])
 
 
-def _sharing(batches, similarity, most=None):
-    """(a, b, again): pairs of different labels that may be similar, of prefixes sorted by shingle and size of set.
+MET = "a long, b long, weight long, place long"
 
-    A shingle of more than `most` texts of different labels isn't paired; each of its texts comes as (rep, shingle, true).
+
+def _sharing(batches, similarity, most, chain):
+    """(a, b, weight, place): pairs of different labels that may be similar, of prefixes sorted by shingle and size of set.
 
     The first common shingle of two sets, in the shared order, leaves them no more in common than either has from there
     on; so a pair whose overlap would need more is left to its first common shingle, where it passes if it is similar.
+    Pairs have a place of -1. A shingle of more than `most` texts of different labels isn't paired, or with chain only
+    by neighbours; each of its texts comes as (rep, shingle, weight, place).
     """
 
     def pairs(rep, left, right):
         a, b = (np.concatenate(x) for x in (left, right))
         both = np.unique(np.stack([np.maximum(rep[a], rep[b]), np.minimum(rep[a], rep[b])], 1), axis=0)
-        return pa.RecordBatch.from_arrays([*(pa.array(both[:, k].copy()) for k in range(2)), pa.array(np.zeros(len(both), bool))], ["a", "b", "again"])
+        return pa.RecordBatch.from_arrays([*(pa.array(both[:, k].copy()) for k in range(2)), *(pa.array(np.full(len(both), x)) for x in (0, -1))], ["a", "b", "weight", "place"])
 
     for got in by_signature(batches, ("sig", "rep", "label", "weight", "place")):
         sig, rep, label, weight = (got[c] for c in ("sig", "rep", "label", "weight"))
@@ -506,11 +514,10 @@ def _sharing(batches, similarity, most=None):
         head = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
         size = np.diff(np.append(head, len(sig)))
         mixed = np.minimum.reduceat(label, head) != np.maximum.reduceat(label, head)
-        if most is not None and (mixed & (size > most)).any():
-            hot = np.repeat(mixed & (size > most), size)
-            yield pa.RecordBatch.from_arrays([pa.array(rep[hot]), pa.array(sig[hot]), pa.array(np.ones(hot.sum(), bool))], ["a", "b", "again"])
-            mixed &= size <= most
-        rows, end, step = np.flatnonzero(np.repeat(mixed, size)), np.repeat(head + size, size), 1
+        hot = np.repeat(mixed & (size > most), size)
+        if hot.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[hot]) for x in (rep, sig, weight, got["place"])], ["a", "b", "weight", "place"])
+        rows, end, step = np.flatnonzero(np.repeat(mixed, size) & (chain | ~hot)), np.repeat(head + size, size), 1
         left, right, held = [], [], 0
         while len(rows := rows[rows + step < end[rows]]):
             rows = rows[weight[rows] >= similarity * weight[rows + step] - 1e-9]  # partners further on are larger still
@@ -523,6 +530,8 @@ def _sharing(batches, similarity, most=None):
             if held > HELD:
                 yield pairs(rep, left, right)
                 left, right, held = [], [], 0
+            if step == 1:
+                rows = rows[~hot[rows]]
             step += 1
         if held:
             yield pairs(rep, left, right)
@@ -538,27 +547,37 @@ def _similar(batches, similarity):
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def sharing_pairs(fronts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): every pair of different labels whose prefixes meet and whose sizes and places allow the similarity.
+def sharing_pairs(fronts: DataFrame, similarity: float, verified, links: DataFrame) -> DataFrame:
+    """links, and those between all pairs of different groups whose prefixes meet and whose sizes and places allow the similarity.
 
-    A shingle in the prefixes of more than HOT texts of different labels is joined with a second one of each text's
-    prefix, one place longer: similar sets of two shingles or more have two in common there. So no task compares
-    all texts of a hot shingle; and sets of one shingle are only similar if equal, which makes them one text here.
+    verified(pairs) are the similar ones of (a, b). First come all pairs of a shingle in the prefixes of at most CHAIN
+    texts, and of other shingles the neighbours by size; then, of these, all pairs that are in different groups still. A
+    shingle of more than HOT such texts is joined with a second one of each text's prefix, one place longer: similar sets
+    of two shingles or more have two in common there. So no task compares all texts of a hot shingle; and sets of one
+    shingle are only similar if equal, which makes them one text here.
     """
     parts = int(fronts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def dealt(rows, most):
-        return rows.repartition(parts, "sig").sortWithinPartitions("sig", "weight").mapInArrow(lambda it: _sharing(it, similarity, most), "a long, b long, again boolean")
+    def met(rows, most, chain=False):
+        found = rows.repartition(parts, "sig").sortWithinPartitions("sig", "weight").mapInArrow(lambda it: _sharing(it, similarity, most, chain), MET)
+        found = materialize(found, "met")
+        return found.where("place < 0").select("a", "b").distinct(), found.where("place >= 0")
 
     front = F.col("weight") - F.ceil(F.col("weight") * F.lit(similarity) - 1e-9) + 1
     own = fronts.select("rep", "label", "weight", F.posexplode(F.slice("sigs", F.lit(1), front.cast("int"))).alias("place", "sig"))
-    told = materialize(dealt(own.select("sig", "rep", "label", "weight", F.col("place").cast("long").alias("place")), HOT), "met")
-    pairs = told.where("not again").select("a", "b")
-    hot = materialize(told.where("again").groupBy("a").agg(F.collect_list("b").alias("hot")), "hot")  # a text's prefix at most
+    pairs, left = met(own.select("sig", "rep", "label", "weight", F.col("place").cast("long").alias("place")), CHAIN, True)
+    links = links.unionByName(verified(pairs))
+    if left.isEmpty():
+        return links
+    labels = materialize(components(links), "labels")
+    label = F.coalesce("component", "rep").alias("label")
+    left = left.withColumnsRenamed({"a": "rep", "b": "sig"}).join(labels, F.col("rep") == F.col("node"), "left").select("sig", "rep", label, "weight", "place")
+    pairs, hot = met(left, HOT)
+    hot = materialize(hot.groupBy("a").agg(F.collect_list("b").alias("hot")), "hot")  # a text's prefix at most
     if not hot.isEmpty():
-        twice = fronts.join(hot, fronts["rep"] == hot["a"]).mapInArrow(_twice, "sig long, rep long, label long, weight long, place long")
-        pairs = pairs.unionByName(dealt(twice, None).select("a", "b"))
-    return pairs.distinct()
+        again = fronts.drop("label").join(hot, fronts["rep"] == hot["a"]).join(labels, F.col("rep") == F.col("node"), "left").select("rep", label, "weight", "sigs", "hot")
+        pairs = pairs.unionByName(met(again.mapInArrow(_twice, "sig long, rep long, label long, weight long, place long"), 1 << 62)[0]).distinct()
+    return links.unionByName(verified(pairs))
 
 
 def near_copies(docs: DataFrame, **how) -> DataFrame:
@@ -624,12 +643,14 @@ def _grouped(docs: DataFrame, size: int, similarity: float, print_size: int, rad
     known = materialize(known, "known")
     fronts = texts.join(known, "doc_id").mapInArrow(lambda it: _prefixes(it, size, similarity, token, count), "rep long, label long, weight long, parity binary, sigs array<long>")
     fronts = materialize(fronts, "fronts")
-    shared = sharing_pairs(fronts, similarity)
-    for side, p, w in (("a", "pa", "wa"), ("b", "pb", "wb")):
-        shared = shared.join(fronts.select(F.col("rep").alias(side), F.col("parity").alias(p), F.col("weight").alias(w)), side)
-    shared = materialize(shared.select("a", "b", "pa", "pb", "wa", "wb").mapInArrow(lambda it: _possible(it, similarity), "a long, b long"), "shared")
-    discard(fronts)
-    labels = materialize(components(links.unionByName(similar(shared))), "labels")
+    bits = fronts.select("rep", "parity", "weight")
+
+    def verified(pairs):
+        for side, p, w in (("a", "pa", "wa"), ("b", "pb", "wb")):
+            pairs = pairs.join(bits.select(F.col("rep").alias(side), F.col("parity").alias(p), F.col("weight").alias(w)), side)
+        return similar(materialize(pairs.select("a", "b", "pa", "pb", "wa", "wb").mapInArrow(lambda it: _possible(it, similarity), "a long, b long"), "shared"))
+
+    labels = materialize(components(sharing_pairs(fronts, similarity, verified, links)), "labels")
     firsts = nodes.join(labels, nodes["rep"] == labels["node"], "left").select("alike", F.coalesce("component", "rep").alias("first"))
     return prints.join(firsts, "alike", "left").select("doc_id", "first")
 

@@ -241,7 +241,7 @@ def test_prefixes_of_similar_sets_meet():
     fronts = pa.Table.from_batches(_prefixes([pa.RecordBatch.from_arrays([ids, ids, pa.array([t for _, t in rows])], ["doc_id", "label", "text"])], 5, 0.8, *none)).to_pylist()
     front = [(s, r["rep"], r["label"], r["weight"], k) for r in fronts for k, s in enumerate(r["sigs"]) if k < r["weight"] - np.ceil(0.8 * r["weight"] - 1e-9) + 1]
     got = pa.table(dict(zip(("sig", "rep", "label", "weight", "place"), map(list, zip(*sorted(front, key=lambda x: (x[0], x[3])))))))
-    pairs = {(x["a"], x["b"]) for found in _sharing(got.to_batches(), 0.8) for x in found.to_pylist()}
+    pairs = {(x["a"], x["b"]) for found in _sharing(got.to_batches(), 0.8, 64, True) for x in found.to_pylist()}
     assert pairs >= {(1020 + i, 1000 + i) for i in range(20)} | {(3020 + i, 3000 + i) for i in range(20)} | {(2, 1)}
 
 
@@ -260,6 +260,7 @@ def test_parities_never_differ_more_than_sets():
 def test_hot_shingles_and_crowded_signatures_are_split_without_loss(spark, monkeypatch):
     from graphloom.llm import simhash
 
+    monkeypatch.setattr(simhash, "CHAIN", 4)
     monkeypatch.setattr(simhash, "HOT", 8)
     monkeypatch.setattr(simhash, "CROWDED", 16)
     rows = [*crowd(60), *blocks(20), (1, "a b"), (2, "A  b"), (3, ""), (4, None), (9, "a b c"), (10, "a b c d e f g"), (11, "a b c d e f g h")]
