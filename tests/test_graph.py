@@ -95,3 +95,55 @@ def test_days_are_elapsed_time(spark):
 
     t = spark.createDataFrame([(1, datetime(2024, 1, 1, 12), datetime(2024, 1, 2, 11), 1)], "grp long, first_seen timestamp, last_seen timestamp, frequency long")
     assert graph.temporal_span(t).first()["span_days"] == 0
+
+
+@pytest.mark.parametrize("measure", ["product", "pathsim", "overlap"])
+def test_blocks_against_numpy(spark, monkeypatch, measure):
+    from graphloom.operators import blocks
+
+    monkeypatch.setattr(blocks, "PIECE", 40)
+    monkeypatch.setattr(blocks, "HELD", 3)
+    monkeypatch.setattr(blocks, "READ", 4)
+    rng = np.random.default_rng(5)
+    ms = [np.round(rng.random((60, 25)) * (rng.random((60, 25)) < 0.2), 3), (np.arange(60)[:, None] % 4 == np.arange(25)) * 1.0]
+    ms[0][:, 7] = 0.5  # a key of all rows
+    frames = [spark.createDataFrame([(f"n{i}", f"k{k}", float(m[i, k])) for i, k in np.argwhere(m).tolist()] * 2, "i string, k string, value double") for m in ms]
+
+    def measured(m):
+        c = m @ m.T
+        d = np.diag(c)
+        total = d[:, None] + d - (0 if measure == "pathsim" else c)
+        return c if measure == "product" else np.divide((2 if measure == "pathsim" else 1) * c, total, out=np.zeros_like(c), where=total > 1e-10)
+
+    want = 0.7 * measured(ms[0]) + 0.3 * measured(ms[1])
+    rows = blocks.similar_rows(frames, [0.7, 0.3], measure).collect()
+    got = {(r["i"], j): v for r in rows for j, v in zip(r["js"], r["vals"])}
+    assert len(got) == sum(len(r["js"]) for r in rows) == (want != 0).sum()
+    assert all(abs(got[f"n{i}", f"n{j}"] - want[i, j]) < 1e-9 for i, j in np.argwhere(want).tolist())
+    few = blocks.similar_rows(frames, [0.7, 0.3], measure, keep=3, floor=0.2, apart=True).collect()
+    np.fill_diagonal(want, 0)
+    assert sum(r["n"] for r in few) == (want >= 0.2).sum() and abs(sum(r["total"] for r in few) - want[want >= 0.2].sum()) < 1e-9
+    for i in range(60):
+        kept = sorted((v for r in few if r["i"] == f"n{i}" for v in r["vals"]), reverse=True)[:3]
+        assert np.allclose(kept, sorted(want[i][want[i] >= 0.2], reverse=True)[:3])
+
+
+TABLES = "/root/testdata/sf0.001"
+
+
+def deals_out_products(query, spark):
+    """Whether a query's plan sends a row for each product of two links to another task."""
+    import os
+
+    from graphloom.plans.queries import QUERIES
+
+    if not os.path.isdir(TABLES):
+        pytest.skip("no test tables")
+    plan = QUERIES[query](spark, TABLES)._jdf.queryExecution().executedPlan().toString()
+    import re
+
+    return bool(re.search(r"hashpartitioning\(i#\d+, j#\d+", plan))
+
+
+def test_pathsim_deals_out_no_products(spark):
+    assert not deals_out_products("pathsim_sps", spark)
