@@ -131,19 +131,26 @@ def test_blocks_against_numpy(spark, monkeypatch, measure):
 TABLES = "/root/testdata/sf0.001"
 
 
-def deals_out_products(query, spark):
-    """Whether a query's plan sends a row for each product of two links to another task."""
+def plan_of(query, spark):
     import os
 
     from graphloom.plans.queries import QUERIES
 
     if not os.path.isdir(TABLES):
         pytest.skip("no test tables")
-    plan = QUERIES[query](spark, TABLES)._jdf.queryExecution().executedPlan().toString()
+    return QUERIES[query](spark, TABLES)._jdf.queryExecution().executedPlan().toString()
+
+
+def deals_out_products(query, spark):
+    """Whether a query's plan sends a row for each product of two links to another task."""
     import re
 
-    return bool(re.search(r"hashpartitioning\(i#\d+, j#\d+", plan))
+    return bool(re.search(r"hashpartitioning\(i#\d+, j#\d+", plan_of(query, spark)))
 
 
 def test_pathsim_deals_out_no_products(spark):
     assert not deals_out_products("pathsim_sps", spark)
+
+
+def test_group_overlap_deals_out_no_neighbours(spark):
+    assert "vt" not in (p := plan_of("jaccard_neighbors", spark)) and "MapInArrow" in p
