@@ -154,3 +154,7 @@ def test_pathsim_deals_out_no_products(spark):
 
 def test_group_overlap_deals_out_no_neighbours(spark):
     assert "vt" not in (p := plan_of("jaccard_neighbors", spark)) and "MapInArrow" in p
+
+
+def test_stats_come_from_rows(spark):
+    assert "js" not in (p := plan_of("pathsim_stats", spark)).split("MapInArrow")[0] and "MapInArrow" in p
