@@ -158,3 +158,14 @@ def test_group_overlap_deals_out_no_neighbours(spark):
 
 def test_stats_come_from_rows(spark):
     assert "js" not in (p := plan_of("pathsim_stats", spark)).split("MapInArrow")[0] and "MapInArrow" in p
+
+
+def test_pathsim_of_some_pairs(spark):
+    rng = np.random.default_rng(7)
+    m = np.round(rng.random((9, 6)) * (rng.random((9, 6)) < 0.4), 3)
+    frame = spark.createDataFrame([(str(i), str(k), float(m[i, k])) for i, k in np.argwhere(m).tolist()] * 2, "i string, k string, value double")
+    pairs = [(i, j) for i in range(9) for j in range(9) if (i + j) % 3 == 0]
+    c = m @ m.T
+    got = {(int(r["i"]), int(r["j"])): r["value"] for r in metapath.pairs_pathsim(frame, spark.createDataFrame([(str(i), str(j)) for i, j in pairs], "i string, j string")).collect()}
+    assert set(got) == {(i, j) for i, j in pairs if c[i, j]}
+    assert all(abs(v - 2 * c[i, j] / (c[i, i] + c[j, j])) < 1e-12 for (i, j), v in got.items())
