@@ -169,3 +169,7 @@ def test_pathsim_of_some_pairs(spark):
     got = {(int(r["i"]), int(r["j"])): r["value"] for r in metapath.pairs_pathsim(frame, spark.createDataFrame([(str(i), str(j)) for i, j in pairs], "i string, j string")).collect()}
     assert set(got) == {(i, j) for i, j in pairs if c[i, j]}
     assert all(abs(v - 2 * c[i, j] / (c[i, i] + c[j, j])) < 1e-12 for (i, j), v in got.items())
+
+
+def test_commuting_deals_out_no_products(spark):
+    assert not deals_out_products("commuting_sps", spark)
