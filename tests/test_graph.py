@@ -173,3 +173,8 @@ def test_pathsim_of_some_pairs(spark):
 
 def test_commuting_deals_out_no_products(spark):
     assert not deals_out_products("commuting_sps", spark)
+
+
+def test_augmented_edges_deal_out_no_products(spark):
+    plan = plan_of("augmented_edges", spark)
+    assert "MapInArrow" in plan and "UNION" not in plan.upper()
