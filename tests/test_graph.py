@@ -178,3 +178,7 @@ def test_commuting_deals_out_no_products(spark):
 def test_augmented_edges_deal_out_no_products(spark):
     plan = plan_of("augmented_edges", spark)
     assert "MapInArrow" in plan and "UNION" not in plan.upper()
+
+
+def test_combined_similarity_deals_out_no_products(spark):
+    assert not deals_out_products("combined_similarity", spark)
