@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.operators import features, graph, metapath, reports
 
@@ -176,8 +177,7 @@ def test_commuting_deals_out_no_products(spark):
 
 
 def test_augmented_edges_deal_out_no_products(spark):
-    plan = plan_of("augmented_edges", spark)
-    assert "MapInArrow" in plan and "UNION" not in plan.upper()
+    assert not deals_out_products("augmented_edges", spark)
 
 
 def test_combined_similarity_deals_out_no_products(spark):
@@ -191,3 +191,11 @@ def test_metapath_features_of_the_largest_values(spark):
     top = metapath.prune(m.where("i <> j"), 1)
     want = {r["node"]: r for r in features.metapath_features(m, items, 1).collect()}
     assert {r["node"]: r for r in features.metapath_features(top, items, 1, counts).collect()} == want
+
+
+def test_pagerank_writes_no_second_matrix(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(features, "materialize", lambda df, name: written.append(df.columns) or df)
+    m = matrix(spark, [[0, 1, 2], [1, 0, 0], [0, 0, 0]])
+    features.pagerank(m, m.select("i").distinct(), iterations=2, tolerance=None)
+    assert written and not any("j" in columns for columns in written)
