@@ -298,8 +298,12 @@ def near_dedup(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
 
 # Near copies by similarity: fingerprints propose most links, prefixes of shingle sets the rest, and the sets decide.
 
-#: Nearest partners of smaller doc_id that a text proposes in each bucket of fingerprints.
+#: Nearest partners of smaller doc_id that a text proposes in each bucket of fingerprints; partners of any doc_id that it
+#: proposes first under a shared shingle of many texts, and how many times as many in each round after.
 FEW = 2
+MORE = 8
+#: Bytes of a text's parities at most that are dealt out with each shingle of many texts.
+SKETCH = 512
 #: Texts, about, whose shingles are counted to tell common ones, and how often a common one occurs there at least.
 SAMPLE, COMMON = 50_000, 2
 #: Common shingles at most that are sent to all tasks.
@@ -477,30 +481,76 @@ def _prefixes(batches, size, similarity, token, count):
 
 
 def _twice(batches):
-    """(sig, rep, label, weight, place): each text under pairs of a hot shingle and any other of its prefix."""
+    """(sig, rep, label, weight, place, sketch): each text under pairs of a hot shingle and any other of its prefix."""
     for b in batches:
         out = []
-        for rep, label, weight, sigs, hot in zip(*(b.column(c).to_pylist() for c in ("rep", "label", "weight", "sigs", "hot"))):
+        for rep, label, weight, sketch, sigs, hot in zip(*(b.column(c).to_pylist() for c in ("rep", "label", "weight", "sketch", "sigs", "hot"))):
             sigs = np.array(sigs, np.int64)
             for x in np.flatnonzero(np.isin(sigs, hot)).tolist():
                 other = np.flatnonzero(np.arange(len(sigs)) != x)
                 low, high = np.minimum(sigs[other], sigs[x]).view(U), np.maximum(sigs[other], sigs[x]).view(U)
                 sig = mix(low ^ mix(high + U(BASE)))
-                out.append((sig.view(np.int64), *(np.full(len(other), v, np.int64) for v in (rep, label, weight)), np.minimum(other, x)))
+                out.append((sig.view(np.int64), *(np.full(len(other), v, np.int64) for v in (rep, label, weight)), np.minimum(other, x), [sketch] * len(other)))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["sig", "rep", "label", "weight", "place"])
+            *flat, sketches = zip(*out)
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in flat), pa.array([x for c in sketches for x in c], pa.binary())], ["sig", "rep", "label", "weight", "place", "sketch"])
+
+
+def _sketches(batches):
+    for b in batches:
+        bits = (folding(np.frombuffer(x.as_buffer(), np.uint8), SKETCH).tobytes() for x in b.column("parity"))
+        yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(list(bits), pa.binary())], ["rep", "sketch"])
+
+
+class Sketches:
+    """Parities of rows, folded to each length that one of them has, to tell how far sets are apart at least."""
+
+    def __init__(self, rows: np.ndarray):
+        self.size, self.folded = np.fromiter(map(len, rows), np.int64, len(rows)), {}
+        sizes = np.unique(self.size).tolist()
+        for least in sizes:
+            x = np.zeros((len(rows), least), np.uint8)
+            for n in (n for n in sizes if n >= least):
+                own = np.flatnonzero(self.size == n)
+                x[own] = np.bitwise_xor.reduce(np.frombuffer(b"".join(rows[own]), np.uint8).reshape(len(own), -1, least), axis=1)
+            self.folded[least] = x.view(U)
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Places where the parities of rows i and j differ: their sets differ in as many members or more."""
+        out = np.zeros(len(i), np.int64)
+        least = np.minimum(self.size[i], self.size[j])
+        for size, x in self.folded.items():
+            own = np.flatnonzero(least == size)
+            for k in range(0, len(own), 1 << 14):
+                at = own[k : k + (1 << 14)]
+                out[at] = np.bitwise_count(x[i[at]] ^ x[j[at]]).sum(1)
+        return out
+
+
+def _closest(bucket, rep, a, b, gap, few):
+    """Of different pairs of rows a and b of one bucket each, which are among the `few` of the least gap of either text there."""
+    end, other, pair = np.concatenate([a, b]), np.concatenate([b, a]), np.tile(np.arange(len(a)), 2)
+    order = np.lexsort((rep[other], gap[pair], rep[end], bucket[end]))
+    end, pair = end[order], pair[order]
+    head = np.flatnonzero(np.append(True, (rep[end][1:] != rep[end][:-1]) | (bucket[end][1:] != bucket[end][:-1])))[: len(end)]
+    near = np.arange(len(end)) - np.repeat(head, np.diff(np.append(head, len(end)))) < few
+    return np.isin(np.arange(len(a)), pair[near])
 
 
 MET = "a long, b long, weight long, place long"
 
 
-def _sharing(batches, similarity, most, chain):
+def _sharing(batches, similarity, most, chain, few=None):
     """(a, b, weight, place): pairs of different labels that may be similar, of prefixes sorted by shingle and size of set.
 
     The first common shingle of two sets, in the shared order, leaves them no more in common than either has from there
     on; so a pair whose overlap would need more is left to its first common shingle, where it passes if it is similar.
     Pairs have a place of -1. A shingle of more than `most` texts of different labels isn't paired, or with chain only
     by neighbours; each of its texts comes as (rep, shingle, weight, place).
+
+    With few, batches have a sketch of each text, and pairs whose sketches tell that they can't be similar are none. Each
+    text then has its `few` closest partners under a shingle, so that pairs are no more than `few` times the rows; texts
+    of pairs that are held back come as (rep, shingle, weight, -2 - place), to be met again.
     """
 
     def pairs(rep, left, right):
@@ -508,7 +558,17 @@ def _sharing(batches, similarity, most, chain):
         both = np.unique(np.stack([np.maximum(rep[a], rep[b]), np.minimum(rep[a], rep[b])], 1), axis=0)
         return pa.RecordBatch.from_arrays([*(pa.array(both[:, k].copy()) for k in range(2)), *(pa.array(np.full(len(both), x)) for x in (0, -1))], ["a", "b", "weight", "place"])
 
-    for got in by_signature(batches, ("sig", "rep", "label", "weight", "place")):
+    def closest(left, right, back):
+        """Pairs without repeats that are kept now; rows of the others are marked in back."""
+        a, b = (np.concatenate(x) for x in (left, right))
+        a, b = np.where(rep[a] > rep[b], a, b), np.where(rep[a] > rep[b], b, a)
+        _, first = np.unique(np.stack([bucket[a], rep[a], rep[b]], 1), axis=0, return_index=True)
+        a, b = a[first], b[first]
+        kept = _closest(bucket, rep, a, b, sketches.apart(a, b), few)
+        back[a[~kept]] = back[b[~kept]] = True
+        return [a[kept]], [b[kept]]
+
+    for got in by_signature(batches, ("sig", "rep", "label", "weight", "place", *["sketch"] * (few is not None))):
         sig, rep, label, weight = (got[c] for c in ("sig", "rep", "label", "weight"))
         rest = weight - got["place"]
         head = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
@@ -517,6 +577,8 @@ def _sharing(batches, similarity, most, chain):
         hot = np.repeat(mixed & (size > most), size)
         if hot.any():
             yield pa.RecordBatch.from_arrays([pa.array(x[hot]) for x in (rep, sig, weight, got["place"])], ["a", "b", "weight", "place"])
+        bucket, back = np.repeat(np.arange(len(head)), size), np.zeros(len(sig), bool)
+        sketches = None if few is None else Sketches(got["sketch"])
         rows, end, step = np.flatnonzero(np.repeat(mixed, size) & (chain | ~hot)), np.repeat(head + size, size), 1
         left, right, held = [], [], 0
         while len(rows := rows[rows + step < end[rows]]):
@@ -524,17 +586,28 @@ def _sharing(batches, similarity, most, chain):
             other = rows + step
             need = np.ceil(similarity / (1 + similarity) * (weight[rows] + weight[other]) - 1e-9)
             ok = (label[rows] != label[other]) & (np.minimum(rest[rows], rest[other]) >= need)
+            if few is not None:
+                some = np.flatnonzero(ok)
+                i, j = rows[some], other[some]
+                ok[some] = (weight[i] + weight[j] - sketches.apart(i, j)) / 2 >= similarity / (1 + similarity) * (weight[i] + weight[j]) - 1e-9
             left.append(rows[ok])
             right.append(other[ok])
             held += len(left[-1])
+            if held > HELD and few is not None:
+                left, right = closest(left, right, back)
+                held = 2 * len(left[0])
             if held > HELD:
                 yield pairs(rep, left, right)
                 left, right, held = [], [], 0
             if step == 1:
                 rows = rows[~hot[rows]]
             step += 1
+        if held and few is not None:
+            left, right = closest(left, right, back)
         if held:
             yield pairs(rep, left, right)
+        if back.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[back]) for x in (rep, sig, weight, -2 - got["place"])], ["a", "b", "weight", "place"])
 
 
 def _similar(batches, similarity):
@@ -551,33 +624,52 @@ def sharing_pairs(fronts: DataFrame, similarity: float, verified, links: DataFra
     """links, and those between all pairs of different groups whose prefixes meet and whose sizes and places allow the similarity.
 
     verified(pairs) are the similar ones of (a, b). First come all pairs of a shingle in the prefixes of at most CHAIN
-    texts, and of other shingles the neighbours by size; then, of these, all pairs that are in different groups still. A
-    shingle of more than HOT such texts is joined with a second one of each text's prefix, one place longer: similar sets
+    texts, and of other shingles the neighbours by size. Then, under these, each text proposes its FEW closest partners of
+    other groups, by sketches that say of which pairs the sets can't be similar; the texts of pairs that were held back meet
+    again after the groups have grown, with MORE times as many partners, until no pair is held back. So rows grow with
+    the texts' prefixes, not with the square of a group, unless very many pairs are close to the similarity but not over it.
+
+    A shingle of more than HOT such texts is joined with a second one of each text's prefix, one place longer: similar sets
     of two shingles or more have two in common there. So no task compares all texts of a hot shingle; and sets of one
     shingle are only similar if equal, which makes them one text here.
     """
     parts = int(fronts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def met(rows, most, chain=False):
-        found = rows.repartition(parts, "sig").sortWithinPartitions("sig", "weight").mapInArrow(lambda it: _sharing(it, similarity, most, chain), MET)
+    def met(rows, most, chain=False, few=None):
+        found = rows.repartition(parts, "sig").sortWithinPartitions("sig", "weight").mapInArrow(lambda it: _sharing(it, similarity, most, chain, few), MET)
         found = materialize(found, "met")
-        return found.where("place < 0").select("a", "b").distinct(), found.where("place >= 0")
+        back = found.select(F.col("a").alias("rep"), F.col("b").alias("sig"), "weight", "place")
+        return found.where("place = -1").select("a", "b").distinct(), back.where("place >= 0"), back.where("place < -1").withColumn("place", -2 - F.col("place"))
 
     front = F.col("weight") - F.ceil(F.col("weight") * F.lit(similarity) - 1e-9) + 1
     own = fronts.select("rep", "label", "weight", F.posexplode(F.slice("sigs", F.lit(1), front.cast("int"))).alias("place", "sig"))
-    pairs, left = met(own.select("sig", "rep", "label", "weight", F.col("place").cast("long").alias("place")), CHAIN, True)
+    pairs, left, _ = met(own.select("sig", "rep", "label", "weight", F.col("place").cast("long").alias("place")), CHAIN, True)
     links = links.unionByName(verified(pairs))
     if left.isEmpty():
         return links
+    sketches = fronts.join(left.select("rep").distinct(), "rep", "left_semi").select("rep", "parity").mapInArrow(_sketches, "rep long, sketch binary")
+    sketches = materialize(sketches, "sketches")
+
+    def labelled(rows, labels):
+        rows = rows.join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep")).drop("node", "component")
+        return rows.join(sketches, "rep")
+
+    shape = ["sig", "rep", "label", "weight", "place", "sketch"]
+    few, every = FEW, 1 << 62
     labels = materialize(components(links), "labels")
-    label = F.coalesce("component", "rep").alias("label")
-    left = left.withColumnsRenamed({"a": "rep", "b": "sig"}).join(labels, F.col("rep") == F.col("node"), "left").select("sig", "rep", label, "weight", "place")
-    pairs, hot = met(left, HOT)
-    hot = materialize(hot.groupBy("a").agg(F.collect_list("b").alias("hot")), "hot")  # a text's prefix at most
+    pairs, hot, left = met(labelled(left, labels).select(shape), HOT, few=few)
+    hot = materialize(hot.groupBy("rep").agg(F.collect_list("sig").alias("hot")), "hot")  # a text's prefix at most
     if not hot.isEmpty():
-        again = fronts.drop("label").join(hot, fronts["rep"] == hot["a"]).join(labels, F.col("rep") == F.col("node"), "left").select("rep", label, "weight", "sigs", "hot")
-        pairs = pairs.unionByName(met(again.mapInArrow(_twice, "sig long, rep long, label long, weight long, place long"), 1 << 62)[0]).distinct()
-    return links.unionByName(verified(pairs))
+        again = labelled(fronts.select("rep", "weight", "sigs").join(hot, "rep"), labels)
+        more, _, late = met(again.mapInArrow(_twice, "sig long, rep long, label long, weight long, place long, sketch binary"), every, few=few)
+        pairs, left = pairs.unionByName(more).distinct(), left.unionByName(late)
+    links = links.unionByName(verified(pairs))
+    while not left.isEmpty():
+        few *= MORE
+        labels = materialize(components(links), "labels")
+        pairs, _, left = met(labelled(left, labels).select(shape), every, few=few)
+        links = links.unionByName(verified(pairs))
+    return links
 
 
 def near_copies(docs: DataFrame, **how) -> DataFrame:

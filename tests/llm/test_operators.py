@@ -274,6 +274,29 @@ def test_hot_shingles_and_crowded_signatures_are_split_without_loss(spark, monke
     assert {r["doc_id"]: r["component_id"] for r in simhash.near_dedup(table(spark, rows)).collect()} == root
 
 
+def test_pairs_that_meet_follow_the_rows_not_the_square_of_a_group(spark, monkeypatch):
+    from graphloom.llm import simhash
+
+    met, written = [], simhash.materialize
+
+    def counted(df, name):
+        out = written(df, name)
+        met.extend([out.count()] * (name == "met"))
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    monkeypatch.setattr(simhash, "CHAIN", 4)
+    monkeypatch.setattr(simhash, "FEW", 1)
+    monkeypatch.setattr(simhash, "MORE", 2)
+    base, rng = [f"w{k}" for k in range(100)], np.random.default_rng(8)
+    apart = [(8000 + i, " ".join(edited(base, rng.choice(np.arange(5, 95, 6), 2, replace=False).tolist(), f"h{i}"))) for i in range(400)]
+    border = [(7000 + i, " ".join(edited(base, rng.choice(100, rng.integers(1, 5), replace=False).tolist(), f"g{i}"))) for i in range(80)]
+    for rows in (apart, border):
+        met.clear()
+        assert {r["doc_id"]: r["first"] for r in simhash.near_copies(table(spark, rows)).collect()} == alike(rows)
+        assert len(met) > 1 and max(met) <= 3 * 21 * len(rows)  # of 96 shingles 20 in a prefix
+
+
 def test_near_copies_of_clashing_columns_and_repeated_ids(spark):
     from graphloom.llm.simhash import drop_near_copies, near_copies
 
