@@ -6,7 +6,7 @@ occurrence. Segments travel as packed arrays, a bucket of anchor hashes at a tim
 
 1. every scan task packs its segments by bucket; of equal segments in its own rows it sends the first alone;
 2. each bucket asks for the content of segments that share an anchor, or settles equal ones by their hashes;
-3. the content goes to the bucket of its anchor, where the operator compares windows exactly;
+3. the content goes, compressed, to the bucket of its anchor, where the operator compares windows exactly;
 4. marked window runs come back to their texts.
 
 There are as many buckets as the input has BUCKET bytes, so a task's share doesn't grow with the input. Of equal
@@ -88,21 +88,22 @@ def _narrow(values: np.ndarray) -> np.ndarray:
 
 
 def packed(rows: dict[str, np.ndarray], blob: bytes = b"") -> bytes:
-    """Arrays as bytes: a key is what it exceeds the one before by."""
-    key = rows["key"]
-    steps = np.diff(key, prepend=key[:1])
-    parts = [rows["h"].astype("<u4"), rows["s"].astype("<u8"), _narrow(steps.astype(U)), _narrow(rows["start"]), rows["n"].astype("<u1")]
-    head = np.array([len(key), key[0], *(p.itemsize for p in parts)], "<i8").tobytes()
-    return head + b"".join(p.tobytes() for p in parts) + blob
+    """Arrays as bytes: a key is what it exceeds the one before by. h has 40 bits at most; s may be left out."""
+    key, h = rows["key"], rows["h"].astype(U)
+    steps, high = np.diff(key, prepend=key[:1]), (h >> U(32)).astype("<u1")
+    parts = [h.astype("<u4"), rows["s"].astype("<u8") if "s" in rows else None, _narrow(steps.astype(U)), _narrow(rows["start"]), rows["n"].astype("<u1"), high if high.any() else None]
+    head = np.array([len(key), key[0], *(0 if p is None else p.itemsize for p in parts)], "<i8").tobytes()
+    return head + b"".join(p.tobytes() for p in parts if p is not None) + blob
 
 
 def unpacked(data: bytes) -> tuple[dict[str, np.ndarray], memoryview]:
-    n, first, *sizes = np.frombuffer(data, "<i8", 7).tolist()
-    at, out = 56, {}
-    for (name, _), size in zip(FIELDS, sizes):
-        out[name] = np.frombuffer(data, f"<u{size}", n, at)
+    n, first, *sizes = np.frombuffer(data, "<i8", 8).tolist()
+    at, out = 64, {}
+    for name, size in zip([*(k for k, _ in FIELDS), "high"], sizes):
+        out[name] = np.frombuffer(data, f"<u{size}", n, at) if size else np.zeros(n, U)
         at += n * size
     out["key"] = np.cumsum(out["key"].astype(np.int64)) + first
+    out["h"] = out["h"] | out.pop("high").astype(np.int64) << 32
     return {k: v.astype(np.int64) if k != "s" else v for k, v in out.items()}, memoryview(data)[at:]
 
 
@@ -171,6 +172,7 @@ def _marks(key, start, n, kind=MARK, h=None) -> pa.RecordBatch:
 
 
 def _by_bucket(rows: dict[str, np.ndarray], buckets: int, kind: int) -> pa.RecordBatch:
+    """A packed row for each bucket."""
     order = np.lexsort((rows["start"], rows["key"]))
     bucket = (mix(rows["h"][order].astype(U)) % U(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
     order = order[np.argsort(bucket, kind="stable")]
@@ -201,7 +203,8 @@ def scan(batches, segments: Callable, buckets: int, by_text: bool, hot: np.ndarr
             stays[other], marked[other] = True, False
         held.clear()
         if stays.any():
-            yield _by_bucket({k: v[stays] for k, v in rows.items()}, buckets, 0)
+            # equal segments are settled by s or by their bytes; those need no s
+            yield _by_bucket({k: v[stays] for k, v in rows.items() if by_text or k != "s"}, buckets, 0)
         if marked.any():
             key, start, n = merged(rows["key"][marked], rows["start"][marked], (rows["n"][marked] & 127).astype(np.int64))
             data = np.stack([key, start, n]).astype("<i8").tobytes()
@@ -238,8 +241,11 @@ def hot_anchors(docs: DataFrame, segments: Callable, size: int) -> np.ndarray:
     return np.array(sorted(r["h"] for r in counts.where(F.col("n") > max(SEEN, HOT // every)).select("h").collect()), np.int64)
 
 
-def spread(rows: dict[str, np.ndarray], hot: np.ndarray, window: Callable, where=None, index: int = 0):
-    """rows with the segments of hot anchors cut into their windows, each a segment of its own; window(segment, step) hashes one."""
+def spread(rows: dict[str, np.ndarray], hot: np.ndarray, window: Callable, where=None, index: int = 0, bits: int = 32):
+    """rows with the segments of hot anchors cut into their windows, each a segment of its own; window(segment, step) hashes one.
+
+    bits: how many h has.
+    """
     if not len(hot) or not len(rows["h"]):
         return rows, where
     at = np.minimum(np.searchsorted(hot, rows["h"]), len(hot) - 1)
@@ -250,7 +256,7 @@ def spread(rows: dict[str, np.ndarray], hot: np.ndarray, window: Callable, where
     of = np.repeat(own, n)
     step = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
     s = window(of, step)
-    cut = {"h": (s >> U(32)).astype(np.int64), "s": s, "key": rows["key"][of], "start": rows["start"][of] + step, "n": np.full(len(of), 1 | index << 7, np.int64)}
+    cut = {"h": (s >> U(64 - bits)).astype(np.int64), "s": s, "key": rows["key"][of], "start": rows["start"][of] + step, "n": np.full(len(of), 1 | index << 7, np.int64)}
     rest = np.ones(len(rows["h"]), bool)
     rest[own] = False
     if where is not None:
@@ -310,7 +316,7 @@ def settle(batches, by_text: bool):
 
 def fetch(batches, content: Callable, buckets: int):
     """Step 3: content(text, starts, counts) gives the bytes that go with each asked segment."""
-    held, size = [], 0
+    held, size, c = [], 0, zstandard.ZstdCompressor(level=1)
 
     def send():
         h, key, start, n = (np.concatenate([x[i] for x in held]) for i in range(4))
@@ -322,8 +328,8 @@ def fetch(batches, content: Callable, buckets: int):
             own = np.flatnonzero(bucket == b)
             own = own[np.argsort(key[own], kind="stable")]
             widths = np.array([len(blobs[i]) for i in own], "<u4")
-            rows = {"h": h[own], "s": np.zeros(len(own), U), "key": key[own], "start": start[own], "n": n[own]}
-            out.append((0, int(b), packed(rows, widths.tobytes() + b"".join(blobs[i] for i in own))))
+            rows = {"h": h[own], "key": key[own], "start": start[own], "n": n[own]}
+            out.append((0, int(b), c.compress(packed(rows, widths.tobytes() + b"".join(blobs[i] for i in own)))))
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))], schema=PLACES)
 
     for batch in batches:
@@ -342,10 +348,11 @@ def fetch(batches, content: Callable, buckets: int):
 
 def compared(batches, compare: Callable):
     """Step 4: compare(rows, blobs) gives (key, start, n) of repeated window runs in one bucket."""
+    z = zstandard.ZstdDecompressor()
     for _, data in gathered(batches):
         parts, blobs = [], []
         for d in data:
-            rows, blob = unpacked(d)
+            rows, blob = unpacked(z.decompress(d))
             widths = np.frombuffer(blob, "<u4", len(rows["h"]))
             ends = np.cumsum(widths, dtype=np.int64) + 4 * len(widths)
             blobs += [bytes(blob[e - w : e]) for e, w in zip(ends.tolist(), widths.tolist())]

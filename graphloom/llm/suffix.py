@@ -8,10 +8,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from graphloom.llm import routing
-from graphloom.llm.common import BASE, BYTE, U, pieces, prefix, repeated, rows_of, span
+from graphloom.llm.common import BASE, BYTE, U, mix, pieces, prefix, repeated, rows_of, span
 
 #: Length of a match in bytes, and of the substrings that anchor it.
 LENGTH, GRAM = 100, 48
+#: Bits of an anchor's hash. Segments are asked for if they share it, so it must tell apart all anchors of a large input.
+BITS = 40
 #: Bits of a position within a slice; the rest of an order key is the anchor's hash.
 PLACE = 24
 SLICE = 1 << 20
@@ -58,8 +60,9 @@ def _segments(data, offs, keys, base, hot):
     head = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])))
     n = np.diff(np.append(head, len(start)))
     first, row = start[head], row[head]
-    rows = {"h": (grams[anchor[head]] >> U(32)).astype(np.int64), "s": span(sums, first, first + n + LENGTH - 1, BASE), "key": keys[row], "start": first - offs[row] + base, "n": n}
-    return routing.spread(rows, hot, lambda of, step: span(sums, first[of] + step, first[of] + step + LENGTH, BASE), (data, first, n + LENGTH - 1))
+    # an anchor is the least of many by its upper bits, which are near zero therefore: they are mixed again
+    rows = {"h": (mix(grams[anchor[head]]) >> U(64 - BITS)).astype(np.int64), "s": span(sums, first, first + n + LENGTH - 1, BASE), "key": keys[row], "start": first - offs[row] + base, "n": n}
+    return routing.spread(rows, hot, lambda of, step: span(sums, first[of] + step, first[of] + step + LENGTH, BASE), (data, first, n + LENGTH - 1), bits=BITS)
 
 
 def content(text: bytes, start: np.ndarray, n: np.ndarray) -> list[bytes]:

@@ -493,6 +493,24 @@ def test_long_texts_are_read_in_slices(spark, monkeypatch):
     assert (seen == 1).all()
 
 
+def test_different_anchors_have_different_hashes():
+    import pyarrow as pa
+
+    from graphloom.llm import routing, suffix
+
+    text = "".join(map(chr, np.random.default_rng(4).integers(33, 127, 6_000_000)))
+    none = np.zeros(0, np.int64)
+    found = [r for r, _ in suffix.segments(pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["key", "text"]), none)]
+    rows = {k: np.concatenate([r[k] for r in found]) for k, _ in routing.FIELDS}
+    h = rows["h"]
+    assert len(h) > 200_000 and len(np.unique(h)) > len(h) - 20  # a slice's end may cut a segment in two
+    del rows["s"]
+    data = routing.packed(rows, b"end")
+    got, blob = routing.unpacked(data)
+    assert all((got[k] == rows[k]).all() for k in rows) and bytes(blob) == b"end"
+    assert len(data) <= 13 * len(h) + 100
+
+
 def test_run_length_index():
     from graphloom.llm.suffix import RunLengthIndex
 
