@@ -199,3 +199,34 @@ def test_pagerank_writes_no_second_matrix(spark, monkeypatch):
     m = matrix(spark, [[0, 1, 2], [1, 0, 0], [0, 0, 0]])
     features.pagerank(m, m.select("i").distinct(), iterations=2, tolerance=None)
     assert written and not any("j" in columns for columns in written)
+
+
+def test_pagerank_by_blocks_deals_out_no_entries(spark, monkeypatch):
+    import duckdb
+
+    from graphloom.operators import blocks
+    from graphloom.plans.queries import ORACLES, QUERIES
+
+    d, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in "region nation customer supplier part orders lineitem events".split():
+        con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
+    want = dict(con.execute(ORACLES["pagerank_fixed"]).fetchall())
+    monkeypatch.setattr(blocks, "entries", None)
+    got = {r["node"]: r["rank"] for r in QUERIES["pagerank_fixed"](spark, d).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-9 for k in want)
+
+
+def test_pagerank_by_blocks_is_that_of_the_matrix(spark, monkeypatch):
+    from graphloom.operators import blocks
+
+    monkeypatch.setattr(blocks, "PRODUCTS", 50)
+    rng = np.random.default_rng(11)
+    terms = []
+    for width in (7, 3):
+        m = np.round(rng.random((40, width)) * (rng.random((40, width)) < 0.3), 3)
+        terms.append(spark.createDataFrame([(str(i), f"k{k}", float(m[i, k])) for i, k in np.argwhere(m).tolist()], "i string, k string, value double"))
+    m = blocks.entries(blocks.similar_rows(terms, [0.7, 0.3])).localCheckpoint()
+    want = {r["node"]: r["rank"] for r in features.pagerank(m, m.select("i").distinct(), iterations=3, tolerance=None).collect()}
+    got = {r["node"]: r["rank"] for r in blocks.pagerank(terms, [0.7, 0.3], iterations=3).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert blocks.pagerank([t.limit(0) for t in terms], [0.7, 0.3]).count() == 0
